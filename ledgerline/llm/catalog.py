@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .ngram import op1_ngram_jaccard
 from .substring import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SKETCH_BITS = 19
-_BLOCK = 1 << 12
+from .text import mix
+
+FILTER_BITS = 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -45,36 +46,36 @@ def parts(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counts over all rows of df of the top `bits` bits of the hashes; 4 * 2**bits bytes whatever the input.
+def _cells(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-    Each task sums its own rows first; what is shuffled is one vector a task, and the driver gets one vector.
-    """
 
-    def count(batches):
-        total = np.zeros(1 << bits, np.int64)
+def id_filter(df: DataFrame, ids: Callable[[pa.RecordBatch], np.ndarray]) -> bytes:
+    """A filter of fixed size (2**FILTER_BITS bits) that holds all the ids of df's batches, and by chance others."""
+
+    def mark(batches):
+        bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            h = hashes(batch)
-            if len(h):
-                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        if total.any():
-            total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-            cut = [total[i : i + _BLOCK] for i in range(0, 1 << bits, _BLOCK)]
-            keep = [i for i, x in enumerate(cut) if x.any()]
-            yield pa.RecordBatch.from_pydict({"block": pa.array(keep, pa.int32()), "counts": pa.array([cut[i].tobytes() for i in keep], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(_BLOCK, np.int64)
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint32)
-        total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = df.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    out = np.zeros(1 << bits, np.uint32)
-    for r in rows:
-        out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, np.uint32)
-    return out
+            bits[_cells(ids(batch))] = True
+        if bits.any():
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    def either(table: pa.Table) -> pa.Table:
+        out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for x in table.column("bits"):
+            out |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"bits": pa.array([out.tobytes()], pa.binary())})
+
+    rows = df.mapInArrow(mark, "bits binary").withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(16)))
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in rows.groupBy("lot").applyInArrow(either, "bits binary").collect():  # 16 rows at most
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
+
+
+def in_filter(bits: bytes, ids: np.ndarray) -> np.ndarray:
+    cell = _cells(ids)
+    return (np.frombuffer(bits, np.uint8)[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -116,7 +116,7 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) - np.repeat(ends - counts, counts)
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, never less than one row."""
     if not len(batch):
         return
@@ -128,11 +128,25 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa
         yield batch.slice(a, b - a)
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
 def pack(values: np.ndarray) -> bytes:
-    """The bytes of an array by place value, so that a shuffle's compression sees the runs in the high places."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+    """The bytes of an array by place value, compressed; runs and repeats in the high places shrink to little."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return len(values).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
 
 
 def unpack(raw: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+    count, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(_ZSTD.decompress(raw[8:], decompressed_size=count * width, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """pack() of the steps between sorted 64-bit values."""
+    return pack(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
