@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .mixing import op3_mix_sources
 from .ngram import op1_ngram_jaccard
+from .packing import op4_pack_sequences
 from .substring import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_mix_sources, op4_pack_sequences, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}

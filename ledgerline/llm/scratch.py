@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .text import mix
@@ -153,3 +153,22 @@ def components(edges: DataFrame) -> DataFrame:
     if roots is None:
         return spark.createDataFrame([], "node long, root long")
     return roots.select("node", F.col("to").alias("root"))
+
+
+def offsets(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, lots: int = 256) -> DataFrame:
+    """df with column out: the sum of value over the rows of the same keys that come earlier in the order.
+
+    order[0] is a uniform 64-bit hash. Rows are dealt into lots by its high bits, lots are summed first, and a
+    window runs inside each lot only, so a hot key's rows are never in one task.
+    """
+    lot = F.floor((F.col(order[0]).cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(float(lots)))
+    df = df.withColumn("__lot", F.least(lot, F.lit(lots - 1)).cast("int"))
+    sums = df.groupBy(*keys, "__lot").agg(F.sum(value).alias("__sum"))
+    low = Window.partitionBy(*keys).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)  # at most `lots` rows a key
+    base = save(sums.withColumn("__base", F.coalesce(F.sum("__sum").over(low), F.lit(0))).drop("__sum"))
+    same = F.lit(True)
+    for c in [*keys, "__lot"]:
+        same = same & df[c].eqNullSafe(base[c])
+    inner = Window.partitionBy(*keys, "__lot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.join(base, same, "inner").select(*[df[c] for c in df.columns], "__base")
+    return df.withColumn(out, (F.col("__base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).cast("long")).drop("__lot", "__base")
