@@ -17,18 +17,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import text as T
-from .scratch import parts, save
+from .scratch import id_filter, in_filter, parts, save
 
 WINDOW = 13
-_HELD = 1_500_000
+_HELD = 700_000
 _EDGES, _SPANS = 0, 1
-_SCHEMA = "target int, kind int, n long, hashes binary, docs binary, tags binary, places binary, sources binary"
-_OUT = "target int, n long, docs binary, tags binary, starts binary, lengths binary, sources binary, places binary"
+_SCHEMA = "target int, kind int, hashes binary, docs binary, tags binary, starts binary, lengths binary, sources binary, places binary"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+_OUT = "target int, docs binary, tags binary, starts binary, lengths binary, sources binary, places binary"
 
 
 def _targets(values: np.ndarray, n: int) -> np.ndarray:
@@ -68,18 +70,19 @@ def _ship(doc, tag, start, length, source, place, n: int):
     order = np.lexsort((start, tag, doc, target))
     target, doc, tag, start, length, source, place = (x[order] for x in (target, doc, tag, start, length, source, place))
     for t, a, b in _cuts(target):
-        yield {"target": t, "n": b - a, "docs": T.pack(doc[a:b]), "tags": T.pack(tag[a:b]), "starts": T.pack(start[a:b]), "lengths": T.pack(length[a:b]), "sources": T.pack(source[a:b]), "places": T.pack((place - start)[a:b])}
+        yield {"target": t, "docs": T.pack(doc[a:b]), "tags": T.pack(tag[a:b]), "starts": T.pack(start[a:b]), "lengths": T.pack(length[a:b]), "sources": T.pack(source[a:b]), "places": T.pack((place - start)[a:b])}
 
 
-def _text_tags(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of each row's word sequence."""
+def _text_tags(words: np.ndarray, first: np.ndarray, ids: np.ndarray, twice: bytes) -> np.ndarray:
+    """What tells apart texts with one doc_id: a hash of the word sequence, or 0 where the doc_id occurs once."""
     place = T.ranges(np.diff(first)).astype(np.uint64)
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(T.mix(words ^ T.mix(place)), out=total[1:])
-    return (T.mix(total[first[1:]] - total[first[:-1]]) >> np.uint64(32)).astype(np.uint32)
+    tags = (T.mix(total[first[1:]] - total[first[:-1]]) >> np.uint64(32)).astype(np.uint32)
+    return np.where(in_filter(twice, ids), tags, np.uint32(0))
 
 
-def _edges(k: int, targets: int):
+def _edges(k: int, targets: int, twice):
     """Map side: the k-mers of a task's documents; of each, those of its smallest document go on, others are repeated."""
 
     def run(batches):
@@ -95,20 +98,14 @@ def _edges(k: int, targets: int):
             lead = np.repeat(at, np.diff(np.r_[at, len(h)]))
             own = doc == doc[lead]
             rep = ~own
-            rows = {name: [] for name in ("target", "kind", "n", "hashes", "docs", "tags", "places", "sources")}
             h2, d2, g2, p2 = h[own], doc[own], tag[own], pos[own].astype(np.uint32)
+            rows = []
             for t, a, b in _cuts(_targets(h2, targets)):
-                packed = [T.pack(x[a:b]) for x in (h2, d2, g2, p2)]
-                for name, x in zip(rows, (t, _EDGES, b - a, *packed, None), strict=True):
-                    rows[name].append(x)
+                rows.append({"target": t, "kind": _EDGES, "hashes": T.pack_sorted(h2[a:b]), "docs": T.pack(d2[a:b]), "tags": T.pack(g2[a:b]), "starts": T.pack(p2[a:b])})
             if rep.any():
                 spans = compact(doc[rep], tag[rep], pos[rep].astype(np.int64), np.ones(rep.sum(), np.int64), doc[lead][rep], pos[lead][rep].astype(np.int64))
-                for x in _ship(*spans, targets):
-                    # spans pass through the same shuffle: n, docs, tags, places=starts, sources=lengths, hashes=sources+places
-                    for name, v in (("target", x["target"]), ("kind", _SPANS), ("n", x["n"]), ("hashes", x["sources"] + x["places"]), ("docs", x["docs"]), ("tags", x["tags"]), ("places", x["starts"]), ("sources", x["lengths"])):
-                        rows[name].append(v)
-            types = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
-            return pa.RecordBatch.from_pydict({name: pa.array(v, t) for (name, v), t in zip(rows.items(), types, strict=True)})
+                rows += [x | {"kind": _SPANS} for x in _ship(*spans, targets)]
+            return pa.RecordBatch.from_pydict({name: pa.array([r.get(name) for r in rows], pa.int32() if name in ("target", "kind") else pa.binary()) for name in _NAMES})
 
         count = 0
         for whole in batches:
@@ -120,7 +117,8 @@ def _edges(k: int, targets: int):
                 if not len(at):
                     continue
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                held.append((T.window_hashes(words, k)[at], ids[row], _text_tags(words, first)[row], (at - first[row]).astype(np.int32)))
+                tags = _text_tags(words, first, ids, twice.value)
+                held.append((T.window_hashes(words, k)[at], ids[row], tags[row], (at - first[row]).astype(np.int32)))
                 count += len(at)
                 if count >= _HELD:
                     yield flush()
@@ -136,14 +134,12 @@ def _reduce(targets: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = []
-        kinds, ns = table.column("kind").to_numpy(), table.column("n").to_numpy()
+        kinds = table.column("kind").to_numpy()
         edges = [i for i in range(len(kinds)) if kinds[i] == _EDGES]
         get = lambda name, i: table.column(name)[i].as_py()
-        for i in np.flatnonzero(kinds == _SPANS):
-            both = get("hashes", i)
-            rows.append({"target": int(table.column("target")[i].as_py()), "n": int(ns[i]), "docs": get("docs", i), "tags": get("tags", i), "starts": get("places", i), "lengths": get("sources", i), "sources": both[: len(both) // 2], "places": both[len(both) // 2 :]})
+        passed = table.filter(pa.array(kinds == _SPANS)).drop_columns(["kind", "hashes"])
         if edges:
-            h = np.concatenate([T.unpack(get("hashes", i), np.uint64) for i in edges])
+            h = np.concatenate([T.unpack_sorted(get("hashes", i)) for i in edges])
             doc = np.concatenate([T.unpack(get("docs", i), np.int64) for i in edges])
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
@@ -153,15 +149,14 @@ def _reduce(targets: int):
             del h
             if rep.any():
                 tag = np.concatenate([T.unpack(get("tags", i), np.uint32) for i in edges])[order]
-                pos = np.concatenate([T.unpack(get("places", i), np.uint32) for i in edges])[order].astype(np.int64)
+                pos = np.concatenate([T.unpack(get("starts", i), np.uint32) for i in edges])[order].astype(np.int64)
                 # the source is the first place in the smallest document
                 low = np.minimum.reduceat(np.where(doc == doc[lead], pos, np.iinfo(np.int64).max), at)
                 source = np.repeat(low, np.diff(np.r_[at, len(doc)]))
                 spans = compact(doc[rep], tag[rep], pos[rep], np.ones(int(rep.sum()), np.int64), doc[lead][rep], source[rep])
                 rows += _ship(*spans, targets)
-        names = ("target", "n", "docs", "tags", "starts", "lengths", "sources", "places")
-        types = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
-        return pa.table({name: pa.array([r[name] for r in rows], t) for name, t in zip(names, types, strict=True)})
+        own = pa.table({name: pa.array([r[name] for r in rows], passed.schema.field(name).type) for name in passed.column_names})
+        return pa.concat_tables([passed, own])
 
     return run
 
@@ -173,7 +168,7 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
     return compact(*got)
 
 
-def _cover(k: int, emit):
+def _cover(k: int, twice, emit):
     """Last join: a document's spans, compacted over all tasks, and its text; emit(..., kept) gets a mask of words to keep, or None for all."""
 
     def run(_key, documents: pa.Table, found: pa.Table) -> pa.Table:
@@ -184,8 +179,8 @@ def _cover(k: int, emit):
                 data, offsets = T.string_buffers(piece.column("text"))
                 starts, ends, first = T.word_spans(data, offsets)
                 words = T.word_hashes(data, starts, ends)
-                tags = _text_tags(words, first)
-                ids = piece.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+                ids = _ids(piece)
+                tags = _text_tags(words, first, ids, twice.value)
                 low, high = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
                 kept = []
                 for i in range(len(ids)):
@@ -230,54 +225,81 @@ def _text_rows(piece, data, offsets, starts, ends, first, kept):
         yield i, b"".join(out)
 
 
-def _found(docs: DataFrame, k: int) -> tuple[DataFrame, int]:
-    targets = 2 * parts(docs.sparkSession)
-    edges = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(_edges(k, targets), _SCHEMA)
-    return save(edges.groupBy("target").applyInArrow(_reduce(targets), _OUT)), targets
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
 
 
-def _with_target(docs: DataFrame, targets: int) -> DataFrame:
-    def add(batches):
+def _found(docs: DataFrame, k: int) -> tuple[DataFrame, int, Broadcast, Broadcast]:
+    """The spans, the number of targets, the filter of doc_ids that occur twice and that of documents with spans."""
+    spark = docs.sparkSession
+    targets = 4 * parts(spark)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    more = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = spark.sparkContext.broadcast(id_filter(more, lambda batch: batch.column(0).to_numpy(zero_copy_only=False)))
+    edges = rows.mapInArrow(_edges(k, targets, twice), _SCHEMA)
+    spans = save(edges.groupBy("target").applyInArrow(_reduce(targets), _OUT))
+    hit = id_filter(spans.select("docs"), lambda batch: np.concatenate([T.unpack(x.as_py(), np.int64) for x in batch.column(0)]))
+    return spans, targets, twice, spark.sparkContext.broadcast(hit)
+
+
+def _split(docs: DataFrame, targets: int, hit: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """Documents that may have spans, with their target, and all others; both keep the columns."""
+
+    def some(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            target = _targets(_doc_hash(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), targets).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(target)], names=[*batch.schema.names, "__target"])
+            ids = _ids(batch)
+            target = pa.array(_targets(_doc_hash(ids), targets).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, target], names=[*batch.schema.names, "__target"]).filter(pa.array(in_filter(hit.value, ids)))
+
+    def rest(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~in_filter(hit.value, _ids(batch))))
+
+    return docs.mapInArrow(some, StructType([*docs.schema.fields, StructField("__target", IntegerType())])), docs.mapInArrow(rest, docs.schema)
 
-    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("__target", IntegerType())]))
+
+def _digests(rows: list[tuple]) -> list[pa.Array]:
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
 
 
 def repeated_words(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document; see the module's text."""
-    found, targets = _found(docs, k)
-    rows = _with_target(docs.select(F.col("doc_id").cast("long"), "text"), targets)
-    cover = _cover(k, _digest_rows)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    found, targets, twice, hit = _found(docs, k)
+    some, rest = _split(docs, targets, hit)
+    cover, names = _cover(k, twice, _digest_rows), ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        got = cover(key, left, right)
-        cols = list(zip(*got, strict=True)) if got else [[], [], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return pa.table(_digests(cover(key, left, right)), names=names)
+
+    def whole(batches):
+        for batch in batches:
+            for piece in T.pieces(batch, "text"):
+                data, offsets = T.string_buffers(piece.column("text"))
+                yield pa.RecordBatch.from_arrays(_digests(list(_digest_rows(piece, data, offsets, None, None, None, [None] * len(piece)))), names=names)
 
-    return rows.groupBy("__target").cogroup(found.groupBy("target")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return some.groupBy("__target").cogroup(found.groupBy("target")).applyInArrow(run, schema).union(rest.mapInArrow(whole, schema))
 
 
 def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """docs, with the covered words cut from column text; all rows and all other columns stay."""
-    found, targets = _found(docs, k)
-    cover = _cover(k, lambda piece, *rest: [(piece, list(_text_rows(piece, *rest)))])
+    found, targets, twice, hit = _found(docs, k)
+    some, rest = _split(docs, targets, hit)
+    cover = _cover(k, twice, lambda piece, *more: [(piece, list(_text_rows(piece, *more)))])
     at = docs.columns.index("text")
-    schema = docs.schema
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.drop_columns(["__target"])
-        got = cover(key, left, right)
         tables = []
-        for piece, texts in got:
+        for piece, texts in cover(key, left, right):
             null = piece.column(at).is_null().to_pylist()
             new = pa.array([None if null[i] else body.decode() for i, body in texts], pa.string())
             tables.append(pa.Table.from_batches([piece]).set_column(at, "text", new))
         return pa.concat_tables(tables) if tables else left.slice(0, 0)
 
-    return _with_target(docs, targets).groupBy("__target").cogroup(found.groupBy("target")).applyInArrow(run, schema)
+    return some.groupBy("__target").cogroup(found.groupBy("target")).applyInArrow(run, docs.schema).union(rest)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
