@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from .chat import op2_chat_format
+from .embedding import op5_embedding_near_dedup
 from .mixing import op3_mix_sources
 from .ngram import op1_ngram_jaccard
 from .packing import op4_pack_sequences
 from .quality import op6_quality_rules
 from .substring import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_mix_sources, op4_pack_sequences, op6_quality_rules, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard,
+        op2_chat_format,
+        op3_mix_sources,
+        op4_pack_sequences,
+        op5_embedding_near_dedup,
+        op6_quality_rules,
+        op10_substring_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
