@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def _text_tags(words: np.ndarray, first: np.ndarray, ids: np.ndarray, twice: byt
     return np.where(in_filter(twice, ids), tags, np.uint32(0))
 
 
-def _edges(k: int, targets: int, twice):
+def _edges(k: int, lots: int, targets: int, twice):
     """Map side: the k-mers of a task's documents; of each, those of its smallest document go on, others are repeated."""
 
     def run(batches):
@@ -100,11 +101,11 @@ def _edges(k: int, targets: int, twice):
             rep = ~own
             h2, d2, g2, p2 = h[own], doc[own], tag[own], pos[own].astype(np.uint32)
             rows = []
-            for t, a, b in _cuts(_targets(h2, targets)):
+            for t, a, b in _cuts(_targets(h2, lots)):
                 rows.append({"target": t, "kind": _EDGES, "hashes": T.pack_sorted(h2[a:b]), "docs": T.pack(d2[a:b]), "tags": T.pack(g2[a:b]), "starts": T.pack(p2[a:b])})
             if rep.any():
                 spans = compact(doc[rep], tag[rep], pos[rep].astype(np.int64), np.ones(rep.sum(), np.int64), doc[lead][rep], pos[lead][rep].astype(np.int64))
-                rows += [x | {"kind": _SPANS} for x in _ship(*spans, targets)]
+                rows += [x | {"kind": _SPANS, "target": x["target"] * (lots // targets)} for x in _ship(*spans, targets)]
             return pa.RecordBatch.from_pydict({name: pa.array([r.get(name) for r in rows], pa.int32() if name in ("target", "kind") else pa.binary()) for name in _NAMES})
 
         count = 0
@@ -129,8 +130,8 @@ def _edges(k: int, targets: int, twice):
     return run
 
 
-def _reduce(targets: int):
-    """Reduce side: each edge's source over all tasks; occurrences in larger documents leave as spans."""
+def _reduce(ratio: int, targets: int):
+    """Reduce side, in ratio * targets groups: each edge's source over all tasks; occurrences in larger documents leave as spans."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = []
@@ -138,6 +139,7 @@ def _reduce(targets: int):
         edges = [i for i in range(len(kinds)) if kinds[i] == _EDGES]
         get = lambda name, i: table.column(name)[i].as_py()
         passed = table.filter(pa.array(kinds == _SPANS)).drop_columns(["kind", "hashes"])
+        passed = passed.set_column(0, "target", pc.divide(passed.column("target"), pa.scalar(ratio, pa.int32())))
         if edges:
             h = np.concatenate([T.unpack_sorted(get("hashes", i)) for i in edges])
             doc = np.concatenate([T.unpack(get("docs", i), np.int64) for i in edges])
@@ -232,12 +234,12 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 def _found(docs: DataFrame, k: int) -> tuple[DataFrame, int, Broadcast, Broadcast]:
     """The spans, the number of targets, the filter of doc_ids that occur twice and that of documents with spans."""
     spark = docs.sparkSession
-    targets = 4 * parts(spark)
+    targets = parts(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     more = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
     twice = spark.sparkContext.broadcast(id_filter(more, lambda batch: batch.column(0).to_numpy(zero_copy_only=False)))
-    edges = rows.mapInArrow(_edges(k, targets, twice), _SCHEMA)
-    spans = save(edges.groupBy("target").applyInArrow(_reduce(targets), _OUT))
+    edges = rows.mapInArrow(_edges(k, 3 * targets, targets, twice), _SCHEMA)
+    spans = save(edges.groupBy("target").applyInArrow(_reduce(3, targets), _OUT))
     hit = id_filter(spans.select("docs"), lambda batch: np.concatenate([T.unpack(x.as_py(), np.int64) for x in batch.column(0)]))
     return spans, targets, twice, spark.sparkContext.broadcast(hit)
 
