@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import text as T
 from .scratch import components, forest, free, id_filter, in_filter, parts, save
 
-_MEMBERS, _TOKENS, _GROUP = 96, 500_000, 16
+_MEMBERS, _TOKENS, _GROUP, _RUN = 192, 1_000_000, 16, 64
 _HELD = 500_000
 SKETCH_BITS = 19  # 2 MB to the driver and to every task, whatever the input
 _BLOCK = 1 << 12
@@ -116,17 +116,17 @@ def _postings(n: int, percent: int, targets: int, counts):
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush():
-            gram, cid, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            gram, cid, size, rank = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((cid, gram))
-            gram, cid, size = gram[order], cid[order], size[order]
+            gram, cid, size, rank = gram[order], cid[order], size[order], rank[order]
             keep = np.r_[True, (gram[1:] != gram[:-1]) | (cid[1:] != cid[:-1])]
-            gram, cid, size = gram[keep], cid[keep], size[keep]
+            gram, cid, size, rank = gram[keep], cid[keep], size[keep], rank[keep]
             target = (((gram >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32)).astype(np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(target)) + 1), len(target)]
             spans = list(zip(cuts, cuts[1:], strict=False))
-            packed = [pa.array([f(x[a:b]) for a, b in spans], pa.binary()) for f, x in ((T.pack_sorted, gram), (T.pack, cid), (T.pack, size.astype(np.uint32)))]
-            return pa.RecordBatch.from_arrays([pa.array([target[a] for a, _ in spans], pa.int32()), *packed], names=["target", "grams", "cids", "sizes"])
+            packed = [pa.array([f(x[a:b]) for a, b in spans], pa.binary()) for f, x in ((T.pack_sorted, gram), (T.pack, cid), (T.pack, size.astype(np.uint32)), (T.pack, rank.astype(np.uint32)))]
+            return pa.RecordBatch.from_arrays([pa.array([target[a] for a, _ in spans], pa.int32()), *packed], names=["target", "grams", "cids", "sizes", "ranks"])
 
         total = 0
         for whole in batches:
@@ -143,8 +143,8 @@ def _postings(n: int, percent: int, targets: int, counts):
                 row, grams = row[order], grams[order]
                 rank = T.ranges(sizes[once])
                 first = rank < (sizes - _needed(sizes, percent) + 1)[row]
-                row, grams = row[first], grams[first]
-                held.append((grams, cid[row], sizes[row]))
+                row, grams, rank = row[first], grams[first], rank[first]
+                held.append((grams, cid[row], sizes[row], rank))
                 total += len(row)
                 if total >= _HELD:
                     yield flush()
@@ -156,40 +156,43 @@ def _postings(n: int, percent: int, targets: int, counts):
 
 
 def _meet(percent: int):
-    """Classes that share a first n-gram and differ little in size, as stars."""
+    """Classes that share a first n-gram and may reach the threshold, as stars.
+
+    The n-grams that follow the shared one bound the overlap of a pair. Where one n-gram is shared by more than
+    _RUN classes, they are joined by nearness of their sizes alone, in time linear in their number.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         gram = np.concatenate([T.unpack_sorted(x.as_py()) for x in table.column("grams")])
-        cid, size = (np.concatenate([T.unpack(x.as_py(), kind) for x in table.column(name)]) for name, kind in (("cids", np.int64), ("sizes", np.uint32)))
-        size = size.astype(np.int64)
+        cid, size, rank = (np.concatenate([T.unpack(x.as_py(), kind) for x in table.column(name)]) for name, kind in (("cids", np.int64), ("sizes", np.uint32), ("ranks", np.uint32)))
+        size, rank = size.astype(np.int64), rank.astype(np.int64)
         order = np.lexsort((cid, size, gram))
-        gram, cid, size = gram[order], cid[order], size[order]
+        gram, cid, size, rank = gram[order], cid[order], size[order], rank[order]
         again = np.r_[False, (gram[1:] == gram[:-1]) & (cid[1:] == cid[:-1])]
-        gram, cid, size = gram[~again], cid[~again], size[~again]
+        gram, cid, size, rank = gram[~again], cid[~again], size[~again], rank[~again]
         near = np.r_[False, (gram[1:] == gram[:-1]) & (size[:-1] * 100 >= percent * size[1:])]
         lead = np.maximum.accumulate(np.where(near, 0, np.arange(len(gram))))
-        pairs = np.unique(np.stack([cid[lead[near]], cid[near]], 1), axis=0) if near.any() else np.zeros((0, 2), np.int64)
-        a, b = forest(pairs[:, 0], pairs[:, 1])
+        length = np.bincount(lead, minlength=len(lead))[lead]
+        big = near & (length > _RUN)
+        left, right = [cid[lead[big]]], [cid[big]]
+        some = np.flatnonzero((length > 1) & (length <= _RUN))
+        gram, cid, size, lead = gram[some], cid[some], size[some], lead[some]
+        rest = size - rank[some] - 1  # n-grams after the shared one
+        for step in range(1, _RUN):
+            pair = np.flatnonzero(lead[step:] == lead[:-step])
+            if not len(pair):
+                break
+            other = pair + step
+            reach = 1 + np.minimum(rest[pair], rest[other])
+            ok = ((100 + percent) * reach >= percent * (size[pair] + size[other])) & (100 * size[pair] >= percent * size[other])
+            left.append(cid[pair[ok]])
+            right.append(cid[other[ok]])
+        a, b = forest(np.concatenate(left), np.concatenate(right))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _sets(n: int, wanted):
-    """The sets of documents whose filter cell is wanted."""
-
-    def run(batches):
-        for whole in batches:
-            ids = whole.column(0).to_numpy(zero_copy_only=False)
-            some = whole.filter(pa.array(in_filter(wanted.value, ids)))
-            for batch in T.pieces(some, "text"):
-                _, grams, sizes = ngram_sets(batch.column(1), n)
-                at = _bounds(sizes)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "cid": pa.array(_class_ids(grams, sizes)), "grams": pa.array([grams[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
-
-    return run
-
-
 def linked(sets: list[np.ndarray], queries: np.ndarray, members: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, member) that reach the threshold; where both lists are one, each pair once.
 
@@ -237,24 +240,37 @@ def linked(sets: list[np.ndarray], queries: np.ndarray, members: np.ndarray, per
     return x, y
 
 
-def _open(percent: int):
+def _read(table: pa.Table, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The set of every row's text, and flags of those that are the row's class (a doc_id can have several texts)."""
+    sets: list[np.ndarray] = []
+    cids = [np.zeros(0, np.int64)]
+    for whole in table.to_batches():
+        for batch in T.pieces(whole, "text"):
+            _, grams, sizes = ngram_sets(batch.column(batch.schema.get_field_index("text")), n)
+            at = _bounds(sizes)
+            sets += [grams[a:b] for a, b in zip(at, at[1:], strict=False)]
+            cids.append(_class_ids(grams, sizes))
+    return sets, np.concatenate(cids) == table.column("cid").to_numpy()
+
+
+def _open(n: int, percent: int):
     """Compares the blocks of every pair dealt to this task: link counts by class, and forests of the links."""
 
     def run(table: pa.Table) -> pa.Table:
         key = np.stack([table.column(c).to_numpy() for c in ("comp", "lo", "hi")], 1)
         cid, mult, block = (table.column(c).to_numpy() for c in ("cid", "mult", "g"))
         order = np.lexsort((cid, key[:, 2], key[:, 1], key[:, 0]))
-        change = np.flatnonzero((np.diff(key[order], axis=0) != 0).any(1)) + 1
         a, b, counts = [], [], {}
-        grams = table.column("grams").combine_chunks()
-        grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
-        for some in np.split(order, change):
+        sets, right = _read(table, n)
+        order = order[right[order]]
+        change = np.flatnonzero((np.diff(key[order], axis=0) != 0).any(1)) + 1
+        for some in np.split(order, change) if len(order) else []:
             some = some[np.r_[True, cid[some][1:] != cid[some][:-1]]]  # repeated rows
-            sets = [np.frombuffer(grams[int(i)].as_buffer(), np.uint64) for i in some]
             low, high = key[some[0], 1], key[some[0], 2]
             index = np.arange(len(some))
             mine = index[block[some] == low]
-            x, y = linked(sets, mine, mine, percent) if low == high else (linked(sets, index[block[some] == high], mine, percent) if len(mine) and len(mine) < len(some) else (index[:0], index[:0]))
+            own = [sets[i] for i in some]
+            x, y = linked(own, mine, mine, percent) if low == high else (linked(own, index[block[some] == high], mine, percent) if len(mine) and len(mine) < len(some) else (index[:0], index[:0]))
             if len(x):
                 x, y = some[x], some[y]
                 for u, v in ((x, y), (y, x)):
@@ -281,7 +297,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     counts = spark.sparkContext.broadcast(_sketch(survey))  # 4 * 2**SKETCH_BITS bytes
     every = survey.where("block is null").select("doc_id", "n", "cid")
     classes = save(every.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("mult")))
-    posted = rows.mapInArrow(_postings(n, percent, targets, counts), "target int, grams binary, cids binary, sizes binary")
+    posted = rows.mapInArrow(_postings(n, percent, targets, counts), "target int, grams binary, cids binary, sizes binary, ranks binary")
     groups = components(posted.groupBy("target").applyInArrow(_meet(percent), "a long, b long"))
 
     # one row a class that met another: its partition, and its block in there
@@ -289,12 +305,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     size = save(comp.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / _MEMBERS), F.ceil(F.sum("n") / _TOKENS)).alias("blocks")).withColumnRenamed("comp", "c"))
     dealt = comp.join(size, comp["comp"] == size["c"]).select("cid", "comp", "rep", "mult", "blocks", F.pmod(F.xxhash64("cid"), "blocks").alias("g"))
     wanted = spark.sparkContext.broadcast(id_filter(comp.select("rep"), lambda batch: batch.column(0).to_numpy(zero_copy_only=False)))
-    sets = rows.mapInArrow(_sets(n, wanted), "doc_id long, cid long, grams binary")
-    asked = sets.join(dealt.withColumnRenamed("cid", "dealt_cid"), (F.col("doc_id") == F.col("rep")) & (F.col("cid") == F.col("dealt_cid")))
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    texts = rows.mapInArrow(some, "doc_id long, text string")
+    asked = texts.join(dealt, texts["doc_id"] == dealt["rep"])
     asked = asked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    asked = asked.select("comp", F.least("g", "other").alias("lo"), F.greatest("g", "other").alias("hi"), "g", "cid", "mult", "grams")
+    asked = asked.select("comp", F.least("g", "other").alias("lo"), F.greatest("g", "other").alias("hi"), "g", "cid", "mult", "text")
     asked = asked.withColumn("bucket", F.pmod(F.xxhash64("comp", "lo", "hi"), F.lit(4 * targets)).cast("int"))
-    found = save(asked.groupBy("bucket").applyInArrow(_open(percent), "a long, b long, links long"))
+    found = save(asked.groupBy("bucket").applyInArrow(_open(n, percent), "a long, b long, links long"))
 
     roots = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("of")).agg(F.sum("links").alias("links"))
