@@ -147,14 +147,11 @@ class Store:
         order_by names a column of unique whole numbers that orders the changes; the batch's seq are those
         numbers, moved past the last used one. Without it, a key may occur once only.
         """
-        if order_by is None:
-            if not rows.groupBy("key").count().where("count > 1").isEmpty():
-                raise InvalidArgument("a key occurs twice; name the column that orders its changes")
-            rows = numbered(rows.select("op", "key", "value"), "key", out="seq")
-        else:
-            rows = rows.withColumn("seq", F.col(order_by).cast("long"))
-            if not rows.groupBy("seq").count().where("count > 1").isEmpty():
-                raise InvalidArgument(f"{order_by} is not unique")
+        unique = "key" if order_by is None else order_by
+        count, distinct = rows.agg(F.count("*"), F.count_distinct(unique)).first()
+        if count != distinct:
+            raise InvalidArgument("a key occurs twice; name the column that orders its changes" if order_by is None else f"{order_by} is not unique")
+        rows = numbered(rows.select("op", "key", "value"), "key", out="seq") if order_by is None else rows.withColumn("seq", F.col(order_by).cast("long"))
         self._append(rows.select("seq", "op", "key", "value"), None)
 
     def _append(self, rows: DataFrame, count: int | None) -> None:
@@ -202,10 +199,14 @@ class Store:
 
     def _write_run(self, rows: DataFrame, level: int, number: int) -> list[RunFile]:
         name = f"run-{number:012d}-{uuid.uuid4().hex[:8]}"
-        size = runs.measure(rows)
-        if not size["num_entries"]:
-            return []
-        runs.write_run(rows, self.files.full(name), size["num_entries"], self.options, size["file_size"])
+        rows = rows.persist()  # spills to disk; measured first, for the number of files and the Bloom filters' size
+        try:
+            size = runs.measure(rows)
+            if not size["num_entries"]:
+                return []
+            runs.write_run(rows, self.files.full(name), size["num_entries"], self.options, size["file_size"])
+        finally:
+            rows.unpersist()
         return [RunFile(level=level, file_number=number, path=name, **size)]
 
     def _runs(self, files: list[RunFile]) -> DataFrame:
