@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from . import text as T
-from .scratch import offsets
+from .scratch import fresh, offsets
 
 BLOCK_WORDS = 128
 SHARDS = 64
@@ -161,12 +162,11 @@ def draw(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_words: i
     return at.mapInArrow(partial(_draws, plan), f"doc_id {kind}, size long, source_size long, target double, taken long, pieces {PIECES}, source string, __h long, __t long").drop("__h")
 
 
-def _cut_texts(batches):
-    """One row for each run of words drawn in one pass; a whole text stays as it is."""
+def _cut_texts(text_at: int, batches):
+    """One row for each run of words drawn in one pass; a whole text stays as it is. The last columns are pieces and size."""
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        names = [n for n in batch.schema.names if n not in ("pieces", "size")]
-        texts, pieces, sizes = batch.column(at), batch.column(batch.schema.get_field_index("pieces")), batch.column(batch.schema.get_field_index("size"))
+        width = batch.num_columns - 2
+        texts, pieces, sizes = batch.column(text_at), batch.column(width), batch.column(width + 1)
         take, new, shard, place = [], [], [], []
         for i in range(len(batch)):
             runs: list[list[int]] = []
@@ -186,18 +186,20 @@ def _cut_texts(batches):
                 shard.append(s)
                 place.append(p)
         rows = batch.take(pa.array(take, pa.int64()))
-        cols = [pa.array(new, pa.string()) if n == "text" else rows.column(rows.schema.get_field_index(n)) for n in names]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(shard, pa.int32()), pa.array(place, pa.int64())], names=[*names, "__shard", "__place"])
+        cols = [pa.array(new, pa.string()) if i == text_at else rows.column(i) for i in range(width)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(shard, pa.int32()), pa.array(place, pa.int64())], names=[f"c{i}" for i in range(width + 2)])
 
 
 def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix: the columns of docs, a row for each drawn run of words, dealt to shards and shuffled in them."""
-    drawn = draw(docs, shards, seed).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), "__t", "pieces", "size").where("size > 0").dropDuplicates(["__d", "__s", "__t"])
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    both = keyed.join(drawn, keyed["doc_id"].eqNullSafe(drawn["__d"]) & keyed["source"].eqNullSafe(drawn["__s"]) & (keyed["__key"] == drawn["__t"])).select(*[keyed[c] for c in docs.columns], "pieces", "size")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = both.mapInArrow(_cut_texts, f"{schema}, __shard int, __place long")
-    return out.repartition("__shard").sortWithinPartitions("__shard", "__place").select(*docs.columns)
+    drawn = draw(docs, shards, seed).where("size > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("__t").alias("t"), "pieces", "size").dropDuplicates(["d", "s", "t"])
+    key, shard, place = fresh(docs, "__key"), fresh(docs, "__shard"), fresh(docs, "__place")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    both = keyed.join(drawn, keyed["doc_id"].eqNullSafe(drawn["d"]) & keyed["source"].eqNullSafe(drawn["s"]) & (keyed[key] == drawn["t"]))
+    both = both.select(*[keyed[c] for c in docs.columns], drawn["pieces"], drawn["size"])
+    schema = StructType([*docs.schema.fields, StructField(shard, IntegerType()), StructField(place, LongType())])
+    out = both.mapInArrow(partial(_cut_texts, docs.columns.index("text")), schema)
+    return out.repartition(shard).sortWithinPartitions(shard, place).select(*docs.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import text as T
-from .scratch import id_filter, in_filter, parts, save
+from .scratch import fresh, id_filter, in_filter, parts, save
 
 WINDOW = 13
 _HELD = 700_000
@@ -244,20 +244,21 @@ def _found(docs: DataFrame, k: int) -> tuple[DataFrame, int, Broadcast, Broadcas
     return spans, targets, twice, spark.sparkContext.broadcast(hit)
 
 
-def _split(docs: DataFrame, targets: int, hit: Broadcast) -> tuple[DataFrame, DataFrame]:
-    """Documents that may have spans, with their target, and all others; both keep the columns."""
+def _split(docs: DataFrame, targets: int, hit: Broadcast) -> tuple[DataFrame, DataFrame, str]:
+    """Documents that may have spans, with their target, all others, and the name of the target's column."""
+    name = fresh(docs, "__target")
 
     def some(batches):
         for batch in batches:
             ids = _ids(batch)
             target = pa.array(_targets(_doc_hash(ids), targets).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, target], names=[*batch.schema.names, "__target"]).filter(pa.array(in_filter(hit.value, ids)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, target], names=[*batch.schema.names, name]).filter(pa.array(in_filter(hit.value, ids)))
 
     def rest(batches):
         for batch in batches:
             yield batch.filter(pa.array(~in_filter(hit.value, _ids(batch))))
 
-    return docs.mapInArrow(some, StructType([*docs.schema.fields, StructField("__target", IntegerType())])), docs.mapInArrow(rest, docs.schema)
+    return docs.mapInArrow(some, StructType([*docs.schema.fields, StructField(name, IntegerType())])), docs.mapInArrow(rest, docs.schema), name
 
 
 def _digests(rows: list[tuple]) -> list[pa.Array]:
@@ -269,7 +270,7 @@ def repeated_words(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document; see the module's text."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found, targets, twice, hit = _found(docs, k)
-    some, rest = _split(docs, targets, hit)
+    some, rest, target = _split(docs, targets, hit)
     cover, names = _cover(k, twice, _digest_rows), ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -282,18 +283,18 @@ def repeated_words(docs: DataFrame, k: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(_digests(list(_digest_rows(piece, data, offsets, None, None, None, [None] * len(piece)))), names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return some.groupBy("__target").cogroup(found.groupBy("target")).applyInArrow(run, schema).union(rest.mapInArrow(whole, schema))
+    return some.groupBy(target).cogroup(found.groupBy("target")).applyInArrow(run, schema).union(rest.mapInArrow(whole, schema))
 
 
 def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """docs, with the covered words cut from column text; all rows and all other columns stay."""
     found, targets, twice, hit = _found(docs, k)
-    some, rest = _split(docs, targets, hit)
+    some, rest, target = _split(docs, targets, hit)
     cover = _cover(k, twice, lambda piece, *more: [(piece, list(_text_rows(piece, *more)))])
     at = docs.columns.index("text")
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.drop_columns(["__target"])
+        left = left.drop_columns([target])
         tables = []
         for piece, texts in cover(key, left, right):
             null = piece.column(at).is_null().to_pylist()
@@ -301,7 +302,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             tables.append(pa.Table.from_batches([piece]).set_column(at, "text", new))
         return pa.concat_tables(tables) if tables else left.slice(0, 0)
 
-    return some.groupBy("__target").cogroup(found.groupBy("target")).applyInArrow(run, docs.schema).union(rest)
+    return some.groupBy(target).cogroup(found.groupBy("target")).applyInArrow(run, docs.schema).union(rest)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
