@@ -2,9 +2,10 @@
 
 Every text gets counts of words, symbols, repeated lines and repeated words. Texts that fail the base rules are
 rejected. The rest give a vector of transformed ratios, and minimum-covariance-determinant estimates are made
-for each pair of language and source: from a robust start, concentration steps take the 75 % of a group's
+for each pair of language and source: from a robust start, concentration steps take the 60 % of a group's
 vectors nearest to the centre and fit centre and covariance anew. A step is one pass: tasks add up the moments
-of each group's vectors by ring of distance, and whole rings up to the 75 % mark make the new fit. Vectors whose
+of each group's vectors by ring of distance, and whole rings up to the 60 % mark make the new fit, so that up to
+40 % of outliers cannot move it. Vectors whose
 squared Mahalanobis distance exceeds the cutoff are rejected.
 
 Pairs with fewer than MIN_GROUP rows, and those beyond the MAX_GROUPS largest, share their language's group;
@@ -32,11 +33,11 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 MIN_GROUP = 200
 MAX_GROUPS = 20_000
-COVERED = 0.75
+COVERED = 0.6
 STEPS = 8
 CUTOFF = 60.0
-#: For COVERED of four normal variables: the covariance of the nearest 75 % times this estimates that of all.
-CONSISTENCY = 1.487
+#: For COVERED of four normal variables: the covariance of the nearest 60 % times this estimates that of all.
+CONSISTENCY = 1.821
 _FLOOR = np.array([0.12, 0.05, 0.06, 0.2]) ** 2
 _DIM = len(_FLOOR)
 _PAIRS = [(i, j) for i in range(_DIM) for j in range(i, _DIM)]
