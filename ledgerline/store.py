@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
@@ -132,7 +132,7 @@ class Store:
             raise InvalidArgument("a change needs an op and a key, and a put a value")
         if rows:
             text = kind.simpleString()
-            self._append(self.spark.createDataFrame(rows, f"seq long, op string, key {text}, value {text}"), len(rows))
+            self._append(self.spark.createDataFrame(rows, f"seq long, op string, key {text}, value {text}"), 0, len(rows) - 1)
 
     def put_many(self, rows: DataFrame, order_by: str | None = None) -> None:
         """Puts all rows (key, value); see append()."""
@@ -148,34 +148,34 @@ class Store:
         numbers, moved past the last used one. Without it, a key may occur once only.
         """
         unique = "key" if order_by is None else order_by
-        count, distinct = rows.agg(F.count("*"), F.count_distinct(unique)).first()
+        seen = [F.count("*"), F.count_distinct(unique)]
+        if order_by is not None:
+            rows = rows.withColumn("seq", F.col(order_by).cast("long"))
+            seen += [F.min("seq"), F.max("seq")]
+        count, distinct, *ends = rows.agg(*seen).first()
         if count != distinct:
             raise InvalidArgument("a key occurs twice; name the column that orders its changes" if order_by is None else f"{order_by} is not unique")
-        rows = numbered(rows.select("op", "key", "value"), "key", out="seq") if order_by is None else rows.withColumn("seq", F.col(order_by).cast("long"))
-        self._append(rows.select("seq", "op", "key", "value"), None)
+        if order_by is None:
+            rows, ends = numbered(rows.select("op", "key", "value"), "key", out="seq"), [1, count]
+        if count:
+            self._append(rows.select("seq", "op", "key", "value"), *ends)
 
-    def _append(self, rows: DataFrame, count: int | None) -> None:
+    def _append(self, rows: DataFrame, low: int, high: int) -> None:
+        """Writes changes whose seq lie in [low, high], moved past the last used number."""
         with self._lock:
             self._check()
-            base = self._state.next_seq
-            if count is None:  # numbers may have gaps
-                low, high = rows.agg(F.min("seq"), F.max("seq")).first()
-                if low is None:
-                    return
-            else:
-                low, high = 0, count - 1
-            name = f"log-{uuid.uuid4().hex}"
-            rows = rows.withColumn("seq", F.col("seq") - F.lit(low) + F.lit(base)).withColumn("stored_crc", crc32c_udf(_payload()))
-            rows.write.parquet(self.files.full(name))
+            base, name, size = self._state.next_seq, f"log-{uuid.uuid4().hex}", Observation()
+            rows = rows.withColumn("seq", F.col("seq") - F.lit(low) + F.lit(base)).observe(size, F.sum(runs.entry_bytes()).alias("bytes"))
+            rows.withColumn("stored_crc", crc32c_udf(_payload())).write.parquet(self.files.full(name))
+            pending = self.pending_bytes() + (size.get["bytes"] or 0)  # of older batches, then of this one
             self._publish(replace(self._state, next_seq=base + high - low + 1, log=(*self._state.log, name)))
-            if self._pending_bytes is not None:
-                self._pending_bytes += self._bytes_of([name])
-            if self.pending_bytes() >= self.options.memtable_size_threshold:
+            self._pending_bytes = pending
+            if pending >= self.options.memtable_size_threshold:
                 self.flush()
                 self.compact()
 
     def _bytes_of(self, names: list[str]) -> int:
-        return self._read_log(names).agg(F.sum(runs.entry_bytes())).first()[0] or 0
+        return (self._read_log(names).agg(F.sum(runs.entry_bytes())).first()[0] or 0) if names else 0
 
     def pending_bytes(self) -> int:
         """Key and value bytes of changes that are in no run yet."""
