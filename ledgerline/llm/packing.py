@@ -80,7 +80,7 @@ def packed(docs: DataFrame, max_words: int = MAX_WORDS, budget: int = BUDGET, bu
     held = [sum(r["count"] for r in found if (low < r.n_words) & (r.n_words <= high)) for low, high in zip([-1, *edges], edges, strict=False)]
     room = [max(1, budget // max(1, e)) for e in edges]
     first = np.concatenate([[0], np.cumsum([-(-h // r) for h, r in zip(held, room, strict=True)])]).astype(int).tolist()
-    bucket = F.lit(len(edges) - 1)
+    bucket = F.lit(max(len(edges) - 1, 0))
     for i in reversed(range(len(edges) - 1)):
         bucket = F.when(F.col("n_words") <= edges[i], i).otherwise(bucket)
     pick = lambda xs: F.element_at(F.array(*[F.lit(x).cast("long") for x in xs or [0]]), F.col("__bucket") + 1)
