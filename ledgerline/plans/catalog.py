@@ -121,9 +121,9 @@ def run_overlap(spark, sf_dir):
 def _levels(spark, sf_dir):
     """The first half of the runs at level 1, the rest at level 0."""
     meta = _meta(spark, sf_dir)
-    last = meta.agg(F.max("run_id").alias("last"))
-    level = F.when(F.col("run_id") * 2 <= F.col("last"), 1).otherwise(0)
-    return meta.crossJoin(F.broadcast(last)).select(level.alias("level"), F.col("bytes").alias("file_size"), "num_entries")
+    last = meta.agg(F.max("run_id")).scalar()
+    level = F.when(F.col("run_id") * 2 <= last, 1).otherwise(0)
+    return meta.select(level.alias("level"), F.col("bytes").alias("file_size"), "num_entries")
 
 
 def level_stats(spark, sf_dir):

@@ -76,5 +76,5 @@ def read_logs(spark: SparkSession, path: str, strict: bool = False) -> DataFrame
 
 def valid_prefix(log: DataFrame, bad: Column) -> DataFrame:
     """Rows of a change log before the first damaged one, in order of seq."""
-    first = log.where(bad).agg(F.min("seq").alias("__first"))
-    return log.crossJoin(F.broadcast(first)).where(F.col("__first").isNull() | (F.col("seq") < F.col("__first"))).drop("__first")
+    first = log.where(bad).agg(F.min("seq")).scalar()
+    return log.where(first.isNull() | (F.col("seq") < first))

@@ -53,15 +53,18 @@ def ingest(changes: DataFrame, store, checkpoint: str, trigger: dict | None = No
 
 
 def latest_state_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live keys of the events table, read as a stream of files until its end."""
+    """Live keys of the events table, read as a stream of files until its end; each batch replaces the stored state."""
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet")
     folder, _, name = path.rpartition("/")
     is_file = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isFile()
     rows = events.option("pathGlobFilter", name).parquet(folder) if is_file else events.parquet(path)
-    table = f"latest_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    checkpoint = f"{base.rstrip('/')}/{table}" if base else f"file://{tempfile.mkdtemp(prefix='ledgerline')}"
-    query = latest_state(changes_of(rows)).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(table).where(F.col("op") == PUT).select("key", "value", "seq")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerline')}"
+    place = f"{base.rstrip('/')}/latest-{uuid.uuid4().hex}"
+    state = latest_state(changes_of(rows))
+    write = state.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/state"))
+    write.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(state.schema)
+    exists = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/state").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{place}/state"))
+    state = found.parquet(f"{place}/state") if exists else spark.createDataFrame([], state.schema)
+    return state.where(F.col("op") == PUT).select("key", "value", "seq")
