@@ -125,31 +125,36 @@ def _local(batches):
         yield out()
 
 
+def _finish(batches):
+    """All remaining edges of a table of bounded size: (node, to) of every node."""
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if held:
+        a, b = forest(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+        top = np.unique(a)
+        yield pa.RecordBatch.from_pydict({"node": np.concatenate([b, top]), "to": np.concatenate([a, top])})
+
+
+#: Edges, after contraction in the tasks that found them, that one task may join: 16 MB.
+ONE_TASK = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a long, b long): (node, root), root the smallest node joined to it.
 
-    Nodes without an edge are not listed. Each round hooks every node to its smallest neighbour, follows
-    the pointers to their ends and contracts the edges, so nodes at least halve; groupings have partial
-    sums and both sides of every join are stored tables, which lets Spark split a hub's rows.
+    Nodes without an edge are not listed. Tasks contract their own edges to forests. While more than ONE_TASK edges
+    are left, a round hooks every node to its smallest neighbour, follows the pointers to their ends and
+    contracts the edges, so nodes at least halve; groupings have partial sums and both sides of every join are
+    stored tables, which lets Spark split a hub's rows. What is left at last is joined by one task.
     """
     spark = edges.sparkSession
     edges = save(edges.select("a", "b").mapInArrow(_local, "a long, b long").where("a <> b").distinct().mapInArrow(_local, "a long, b long"))
     roots: DataFrame | None = None
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")))
-        while True:  # pointer jumping; `to` is always a node of hook
-            jump = hook.select(F.col("node").alias("via"), F.col("to").alias("end"))
-            new = save(hook.join(jump, hook["to"] == jump["via"]).select("node", F.col("end").alias("new"), "to"))
-            done = new.where("new <> to").isEmpty()
-            free(hook)
-            hook = new.select("node", F.col("new").alias("to"))
-            hook._scratch_path = new._scratch_path
-            if done:
-                break
-        left, right = hook.toDF("a", "ra"), hook.toDF("b", "rb")
-        rest = edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        rest = save(rest.mapInArrow(_local, "a long, b long").distinct())
+    while left_over := edges.count():
+        if left_over <= ONE_TASK:
+            hook = save(edges.coalesce(1).mapInArrow(_finish, "node long, to long"))
+            rest = None
+        else:
+            hook, rest = _round(edges)
         if roots is None:
             roots = hook
         else:
@@ -157,12 +162,32 @@ def components(edges: DataFrame) -> DataFrame:
             roots = save(old.join(now, old["to"] == now["root_"], "left").select("node", F.coalesce("to_", "to").alias("to")))
             free(old), free(hook)
         free(edges)
+        if rest is None:
+            break
         edges = rest
     if roots is None:
         return spark.createDataFrame([], "node long, root long")
     return roots.select("node", F.col("to").alias("root"))
 
 
+def _round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round: (node, to) of every node, and the edges between different ends."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hook = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")))
+    while True:  # pointer jumping; `to` is always a node of hook
+        jump = hook.select(F.col("node").alias("via"), F.col("to").alias("end"))
+        new = save(hook.join(jump, hook["to"] == jump["via"]).select("node", F.col("end").alias("new"), "to"))
+        done = new.where("new <> to").isEmpty()
+        free(hook)
+        hook = new.select("node", F.col("new").alias("to"))
+        hook._scratch_path = new._scratch_path
+        if done:
+            break
+    left, right = hook.toDF("a", "ra"), hook.toDF("b", "rb")
+    rest = edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    return hook, save(rest.mapInArrow(_local, "a long, b long").distinct())
+
+
 def offsets(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, lots: int = 256) -> DataFrame:
     """df with column out: the sum of value over the rows of the same keys that come earlier in the order.
 
