@@ -331,10 +331,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay."""
+    """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay.
+
+    Only rows that a filter of fixed size holds for possible copies are shuffled to be looked up.
+    """
     found = jaccard_components(docs, n, percent)
-    keep = save(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(keep, docs["doc_id"] == keep["gone"], "left_anti")
+    gone = save(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct())
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(gone, lambda batch: batch.column(0).to_numpy(zero_copy_only=False)))
+    at = docs.columns.index("doc_id")
+
+    def part(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                ids = batch.column(at).cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(in_filter(held.value, ids) == wanted))
+
+        return run
+
+    some = docs.mapInArrow(part(True), docs.schema)
+    return docs.mapInArrow(part(False), docs.schema).union(some.join(gone, some["doc_id"] == gone["gone"], "left_anti"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
