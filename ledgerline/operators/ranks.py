@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, *keys: str, out: str = "rn", before: str | None = None, slots: int = 64) -> DataFrame:
+def ranges(rows: DataFrame) -> int:
+    """As many ranges as the session has shuffle partitions, which is what grows with the data."""
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def numbered(rows: DataFrame, *keys: str, out: str = "rn", before: str | None = None, slots: int | None = None) -> DataFrame:
     """rows with their place (from 1) in the order of keys; with before, also the first key of the row before.
 
     Rows are split into ranges; places inside a range come from a window, and a table with one row a range says
     how many rows, and which last key, lie below it. Keys must be unique for `before` to be defined.
     """
+    slots = slots or ranges(rows)
     both = rows.repartitionByRange(slots, *keys).withColumn("__slot", F.spark_partition_id())
     inner = Window.partitionBy("__slot").orderBy(*keys)
     below = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)

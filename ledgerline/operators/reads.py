@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PUT
+from .ranks import ranges
 from .resolve import current, latest
 
 
@@ -38,13 +39,14 @@ def seek(log: DataFrame, target) -> DataFrame:
     return current(log.where(F.col("key") >= F.lit(target))).select("key", "value").orderBy("key").limit(1)
 
 
-def multi_seek(log: DataFrame, probes: DataFrame, slots: int = 64) -> DataFrame:
+def multi_seek(log: DataFrame, probes: DataFrame, slots: int | None = None) -> DataFrame:
     """(target, key) for every row of probes (target): its first live key at or after, or null.
 
     A merge by ranges, not a join of all pairs: live keys and targets are split at the same sampled bounds. In a
     range the next key is a window's minimum over the rows that follow; a target past its range's last key takes the
     first key of the next range that has one, from a table of `slots` rows.
     """
+    slots = slots or ranges(log)
     live = current(log)
     kind = live.schema["key"].dataType
     rows = live.select("key", F.lit(None).cast(kind).alias("target"), F.col("key").alias("at"))

@@ -8,26 +8,19 @@ from .store import Store
 
 
 def query(store: Store, text: str) -> DataFrame:
-    """Runs SQL with the views changelog, current and manifest of the store."""
+    """Runs SQL with the views changelog, current and manifest of the store, and the function scan(start, end)."""
     store.register_views()
+    register_scan(store)
     return store.spark.sql(text)
 
 
 def register_scan(store: Store, name: str = "scan") -> None:
-    """A view macro would not take arguments in every Spark; this registers a Python table function instead.
+    """`SELECT * FROM scan('a', 'z')` gives the live pairs of [start, end), as of the last register_views().
 
-    `SELECT * FROM scan('a', 'z')` yields live pairs of [start, end) as of now. The pairs are read through the
-    driver; for large ranges, use Store.scan or a filter on the view `current`, which stay distributed.
+    It is a SQL function over the view `current`, so its range goes to the files as that of a filter does.
     """
-    from pyspark.sql.functions import udtf
-
-    pairs = [(r.key, r.value) for r in store.current().orderBy("key").toLocalIterator()]
-
-    @udtf(returnType="key string, value string")
-    class Scan:
-        def eval(self, start: str, end: str):
-            for key, value in pairs:
-                if start <= key < end:
-                    yield key, value
-
-    store.spark.udtf.register(name, Scan)
+    kind = "BINARY" if store.options.binary else "STRING"
+    store.spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(low {kind}, high {kind}) RETURNS TABLE(key {kind}, value {kind}) "
+        "RETURN SELECT c.key, c.value FROM current c WHERE c.key >= low AND c.key < high"
+    )

@@ -158,6 +158,9 @@ def test_batches_from_frames(spark, open_store):
     seqs = [r.seq for r in s.changes().select("seq").collect()]
     assert len(seqs) == len(set(seqs))
     assert {r.key for r in sql.query(s, "SELECT key FROM current WHERE key LIKE 'key_0000000%'").collect()} == {f"key_{i:08d}" for i in range(10)}
+    found = sql.query(s, "SELECT key FROM scan('key_00000010', 'key_00000013') ORDER BY key")
+    assert [r.key for r in found.collect()] == ["key_00000010", "key_00000011", "key_00000012"]
+    assert "GreaterThanOrEqual(key,key_00000010)" in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_damaged_log(open_store, spark):
