@@ -177,7 +177,7 @@ def _label(model, switch: float, text_at: int, batches):
     m = model.value
     langs = m["langs"]
     for whole in batches:
-        for batch in T.pieces(whole, "text", _PIECE):
+        for batch in T.pieces(whole, "text", _PIECE // max(1, len(langs) // 4)):  # scores take 4 bytes a word and language
             column = batch.column(text_at)
             letters = np.array([x is not None and _LETTER.search(x) is not None for x in column.to_pylist()], bool)
             rows = len(batch)
