@@ -188,12 +188,14 @@ def _round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hook, save(rest.mapInArrow(_local, "a long, b long").distinct())
 
 
-def offsets(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, lots: int = 256) -> DataFrame:
+def offsets(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, lots: int | None = None) -> DataFrame:
     """df with column out: the sum of value over the rows of the same keys that come earlier in the order.
 
     order[0] is a uniform 64-bit hash. Rows are dealt into lots by its high bits, lots are summed first, and a
-    window runs inside each lot only, so a hot key's rows are never in one task.
+    window runs inside each lot only, so a hot key's rows are never in one task. Lots grow with the session's
+    shuffle partitions.
     """
+    lots = lots or max(256, 4 * parts(df.sparkSession))
     lot = F.floor((F.col(order[0]).cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(float(lots)))
     df = df.withColumn("__lot", F.least(lot, F.lit(lots - 1)).cast("int"))
     sums = df.groupBy(*keys, "__lot").agg(F.sum(value).alias("__sum"))
