@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import text as T
 from .scratch import components, forest, free, id_filter, in_filter, parts, save
 
-_MEMBERS, _TOKENS, _GROUP, _RUN = 192, 1_000_000, 16, 64
+_MEMBERS, _TOKENS, _GROUP, _RUN = 96, 1_000_000, 16, 64
 _HELD = 500_000
 SKETCH_BITS = 19  # 2 MB to the driver and to every task, whatever the input
 _BLOCK = 1 << 12
