@@ -15,13 +15,21 @@ def get(log: DataFrame, key) -> DataFrame:
     return current(log.where(F.col("key") == F.lit(key)))
 
 
-def multi_get(log: DataFrame, probes: DataFrame) -> DataFrame:
+#: Probes up to this many keys are sent to all tasks that read the log.
+FEW_KEYS = 50_000
+
+
+def multi_get(log: DataFrame, probes: DataFrame, few_keys: int = FEW_KEYS) -> DataFrame:
     """(key, value, status) for every row of probes (key); status is OK or NotFound.
 
-    Only probed keys are resolved: the semi join runs before the aggregation, on the same key.
+    Probed keys are counted up to few_keys first. If they are few, a broadcast semi join keeps all else out of the
+    resolve. Otherwise the log is resolved with partial sums, which fold a hot key's versions in each task,
+    and joined on the key that it is then already partitioned by.
     """
     wanted = probes.select("key").distinct()
-    live = current(log.join(wanted, "key", "left_semi")).select("key", "value", F.lit("OK").alias("status"))
+    if wanted.limit(few_keys + 1).count() <= few_keys:
+        log = log.join(F.broadcast(wanted), "key", "left_semi")
+    live = current(log).select("key", "value", F.lit("OK").alias("status"))
     return probes.select("key").join(live, "key", "left").withColumn("status", F.coalesce("status", F.lit("NotFound")))
 
 

@@ -42,6 +42,10 @@ def test_reads(spark, log):
     for slots in (1, 3, 64):
         got = sorted((r.target, r.key) for r in reads.multi_seek(log, probes, slots).collect())
         assert got == [("", "b"), ("a", "b"), ("b", "b"), ("b", "b"), ("bb", "c"), ("e", None)]
+    keys = probes.withColumnRenamed("target", "key")
+    for few in (0, 10):
+        got = sorted((r.key, r.value, r.status) for r in reads.multi_get(log, keys, few).collect())
+        assert got == [("", None, "NotFound"), ("a", None, "NotFound"), ("b", "", "OK"), ("b", "", "OK"), ("bb", None, "NotFound"), ("e", None, "NotFound")]
     assert [r.op for r in reads.ordered(log, with_tombstones=True).collect()] == ["DELETE", "PUT", "PUT", "PUT", "DELETE"]
 
 
