@@ -68,6 +68,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All-rights-reserved": "Copyright. All rights reserved.",
 }
+#: Words that are in much prose; a template's list takes others first.
+COMMON = frozenset("a all an and any are as at be by for from in is not of on or that the this to under with".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,7 +88,7 @@ def needed_words(templates: dict[str, str], threshold: float) -> list[str]:
     for text in templates.values():
         grams = bigrams(text)
         missing = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
-        words = sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in out, -len(w), w))
+        words = sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in out, w in COMMON, -len(w), w))
         mine: set[str] = set()
         for w in words:
             if sum(bool(mine & set(g.split())) for g in grams) > missing:
@@ -96,6 +98,14 @@ def needed_words(templates: dict[str, str], threshold: float) -> list[str]:
     return sorted(out)
 
 
+def _trie(words: list[str]) -> str:
+    """A regular expression of the words that reads common beginnings once."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(first + (rest[0] if len(rest) == 1 else f"(?:{_trie(rest)})" if all(rest) else f"(?:{'|'.join(sorted(rest, key=len, reverse=True))})") for first, rest in sorted(by.items()))
+
+
 def _units(text: Column) -> Column:
     """The normalised text as a whole, its paragraphs and its lines, once each."""
     clean = F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9\n]+", " ")
@@ -108,8 +118,8 @@ def _units(text: Column) -> Column:
 def matches(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license and dice of every unit and template that match."""
     templates = templates or TEMPLATES
-    hint = "(?:^| )(?:" + "|".join(needed_words(templates, threshold)) + ")(?: |$)"
-    loose = "(?i)(?:" + "|".join(needed_words(templates, threshold)) + ")"
+    words = _trie(needed_words(templates, threshold))
+    hint, loose = f"(?:^| )(?:{words})(?: |$)", f"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])"
     unit = docs.where(F.col("text").rlike(loose)).select("doc_id", F.explode(F.filter(_units(F.col("text")), lambda x: x.rlike(hint))).alias("unit"))
     words = F.split("unit", " ")
     grams = F.when(F.size("w") > 1, F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))))
