@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .scratch import components, forest, parts, save
 
@@ -57,8 +58,8 @@ def _lines(dim: int, count: int, salt: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=0)
 
 
-def _clean(batches):
-    """Usable vectors as bytes of doubles; others get null."""
+def _clean(kind: str, batches):
+    """Usable vectors as bytes of their own precision; others get null."""
     for batch in batches:
         out = []
         for x in batch.column(1).to_pylist():
@@ -67,12 +68,13 @@ def _clean(batches):
                 out.append(None)
                 continue
             top = np.abs(v).max()
-            out.append(v.tobytes() if top > 0 else None)
+            out.append(v.astype(kind).tobytes() if top > 0 else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "v"])
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """The vectors in double precision, scaled to length 1."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -85,13 +87,14 @@ def _cells(p: dict, batches):
         code = np.zeros((len(raw), p["rounds"]), np.int64)
         for n in np.unique(size):
             some = np.flatnonzero(size == n)
-            x = _unit([raw[i] for i in some])
+            x = _unit([raw[i] for i in some], p["kind"])
             if p["bits"]:
-                signs = x @ _lines(n // 8, p["bits"] * p["rounds"], 1) >= 0
+                signs = x @ _lines(x.shape[1], p["bits"] * p["rounds"], 1) >= 0
                 code[some] = (signs.reshape(len(some), p["rounds"], p["bits"]) << np.arange(p["bits"])).sum(2)
-            code[some] = code[some] * 65_536 + n // 8 % 65_536  # vectors of one length only
         rest = [batch.column(i) for i in range(batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(list(code), pa.list_(pa.int64()))], names=[*batch.schema.names, "codes"])
+        cells = code * 65_536 + (size % 65_536)[:, None]  # vectors of one length only
+        packed = [row.tobytes() for row in code.astype(np.uint32)]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(list(cells), pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=[*batch.schema.names, "cells", "codes"])
 
 
 def _bins(x: np.ndarray, p: dict) -> tuple[np.ndarray, int]:
@@ -132,11 +135,11 @@ def _compare(p: dict, table: pa.Table) -> pa.Table:
     order = np.lexsort((vid, hi, lo, cell, rnd))
     key = np.stack([rnd, cell, lo, hi], 1)[order]
     a, b, counts = [], [], {}
-    vectors, codes = table.column("v").to_pylist(), np.array(table.column("codes").to_pylist(), np.int64)
+    vectors, codes = table.column("v").to_pylist(), np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint32).reshape(table.num_rows, -1)
     for some in np.split(order, np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1):
         if len(some) < 2:
             continue
-        x = _unit([vectors[i] for i in some])
+        x = _unit([vectors[i] for i in some], p["kind"])
         bins, reach = _bins(x, p)
         low, high = lo[some[0]], hi[some[0]]
         left, right = np.flatnonzero(block[some] == high), np.flatnonzero(block[some] == low)
@@ -161,15 +164,16 @@ def _compare(p: dict, table: pa.Table) -> pa.Table:
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType == FloatType() else "<f8"
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    every = save(rows.mapInArrow(_clean, "vec_id long, v binary").withColumn("key", F.xxhash64("v")).withColumn("key2", F.crc32("v")))
+    every = save(rows.mapInArrow(partial(_clean, kind), "vec_id long, v binary").withColumn("key", F.xxhash64("v")).withColumn("key2", F.crc32("v")))
     # equal vectors are one class, named by its smallest vec_id
     classes = save(every.where("v is not null").groupBy("v", "key", "key2").agg(F.min("vec_id").alias("vid"), F.count("*").alias("mult")))
     size = classes.agg(F.count("*").alias("n"), F.max(F.length("v")).alias("b")).first()
-    p = plan(size.n, (size.b or 8) // 8, cosine)
-    coded = save(classes.select("vid", "v", "mult").mapInArrow(partial(_cells, p), "vid long, v binary, mult long, codes array<long>"))
-    meets = coded.select("vid", "v", "mult", "codes", F.posexplode("codes").alias("round", "cell"))
-    cells = save(coded.select(F.posexplode("codes").alias("r", "c")).groupBy("r", "c").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / _BLOCK)).drop("count"))
+    p = plan(size.n, (size.b or 8) // int(kind[-1]), cosine) | {"kind": kind}
+    coded = save(classes.select("vid", "v", "mult").mapInArrow(partial(_cells, p), "vid long, v binary, mult long, cells array<long>, codes binary"))
+    meets = coded.select("vid", "v", "mult", "codes", F.posexplode("cells").alias("round", "cell"))
+    cells = save(coded.select(F.posexplode("cells").alias("r", "c")).groupBy("r", "c").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / _BLOCK)).drop("count"))
     dealt = meets.join(cells, (meets["round"] == cells["r"]) & (meets["cell"] == cells["c"])).drop("r", "c")
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("vid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("g", "other")).withColumn("hi", F.greatest("g", "other")).withColumn("bucket", F.pmod(F.xxhash64("round", "cell", "lo", "hi"), F.lit(8 * parts(spark))).cast("int"))
