@@ -27,7 +27,7 @@ from . import text as T
 from .scratch import fresh, id_filter, in_filter, parts, save
 
 WINDOW = 13
-_HELD = 700_000
+_HELD = 400_000
 _EDGES, _SPANS = 0, 1
 _SCHEMA = "target int, kind int, hashes binary, docs binary, tags binary, starts binary, lengths binary, sources binary, places binary"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
@@ -123,9 +123,11 @@ def _edges(k: int, lots: int, targets: int, twice):
                 count += len(at)
                 if count >= _HELD:
                     yield flush()
+                    T.give_back()
                     count = 0
         if held:
             yield flush()
+        T.give_back()
 
     return run
 
@@ -157,6 +159,7 @@ def _reduce(ratio: int, targets: int):
                 source = np.repeat(low, np.diff(np.r_[at, len(doc)]))
                 spans = compact(doc[rep], tag[rep], pos[rep], np.ones(int(rep.sum()), np.int64), doc[lead][rep], source[rep])
                 rows += _ship(*spans, targets)
+        T.give_back()
         own = pa.table({name: pa.array([r[name] for r in rows], passed.schema.field(name).type) for name in passed.column_names})
         return pa.concat_tables([passed, own])
 

@@ -6,7 +6,9 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 is the pa
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,9 @@ _LONG_WORD = 1 << 16
 _SEGMENT = 1 << 19
 
 
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -41,6 +46,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _UP, _DOWN = _powers(_SEGMENT + _LONG_WORD + 1)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay, and what they hold counts beside Spark's own."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
