@@ -38,7 +38,7 @@ _TILE = 256
 
 
 def plan(rows: int, dim: int, cosine: float, recall: float = RECALL, lines: int = LINES) -> dict:
-    """Projections per cell, rounds, window and count for the wanted recall of each of the two steps."""
+    """Projections per cell, rounds, window (for vectors of dim) and count for the wanted recall of each of the two steps."""
     same = 1 - math.acos(cosine) / math.pi  # the sign of a projection agrees
     bits = max(0, math.ceil(math.log2(max(rows, 1) / _CELL)))
     rounds = 1 if not bits else math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
@@ -50,7 +50,7 @@ def plan(rows: int, dim: int, cosine: float, recall: float = RECALL, lines: int
         if tail >= recall:
             break
         at_least -= 1
-    return {"bits": bits, "rounds": rounds, "window": window, "count": at_least, "lines": lines, "cosine": cosine}
+    return {"bits": bits, "rounds": rounds, "window": window, "count": at_least, "lines": lines, "cosine": cosine, "dim": dim}
 
 
 def _lines(dim: int, count: int, salt: int) -> np.ndarray:
@@ -98,11 +98,12 @@ def _cells(p: dict, batches):
 
 
 def _bins(x: np.ndarray, p: dict) -> tuple[np.ndarray, int]:
-    """Projections in steps of a byte, and the window's reach in steps, rounded up."""
+    """Projections in steps of a byte, and the reach in steps, rounded up, of the window for vectors of x's own length."""
     value = x @ _lines(x.shape[1], p["lines"], 2)
-    step = max(2.0 / 250, p["window"] / 60)
+    window = p["window"] * math.sqrt(p["dim"] / x.shape[1])
+    step = max(2.0 / 250, window / 60)
     scaled = np.clip(np.floor((value + 1.0) / step), 0, 254).astype(np.uint8) if step * 254 >= 2 else np.floor((value + 1.0) / step).astype(np.int64).astype(np.uint8)
-    return scaled, int(math.ceil(p["window"] / step)) + 1
+    return scaled, int(math.ceil(window / step)) + 1
 
 
 def near_pairs(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray, reach: int, p: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -84,6 +84,22 @@ def test_recall_at_the_threshold():
     assert ((np.abs(bx.astype(int) - E._bins(far, p)[0].astype(int)) <= reach).sum(1) >= p["count"]).mean() < 0.02
 
 
+def test_one_longer_vector(spark):
+    """The window is that of a pair's own length, whatever other lengths the table has."""
+    rng = np.random.default_rng(8)
+    rows = [(1, rng.standard_normal(640).tolist(), None, None)]
+    for i in range(60):
+        x, y = rng.standard_normal((2, 64))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        t = rng.uniform(0.9, 0.95)
+        rows += [(10 + 2 * i, x.tolist(), None, None), (11 + 2 * i, (t * x + math.sqrt(1 - t * t) * y / np.linalg.norm(y)).tolist(), None, None)]
+    got = sorted(tuple(r) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = brute(rows)
+    assert sum(n for _, n, _, _ in want) >= 116
+    assert got == want
+
+
 @pytest.mark.parametrize("same", [True, False])
 def test_tiles(same, monkeypatch):
     monkeypatch.setattr(E, "_TILE", 7)
