@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import text as T
-from .scratch import components, forest, free, id_filter, in_filter, parts, save
+from .scratch import components, forest, free, fresh, id_filter, in_filter, parts, save
 
 _MEMBERS, _TOKENS, _GROUP, _RUN = 96, 1_000_000, 16, 64
 _HELD = 500_000
@@ -285,9 +286,12 @@ def _open(n: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, by_row: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links of every document.
 
+    by_row adds cid, the class of the row's set, and root, which names the component also where rows of one doc_id are
+    in several (null for an empty set).
+
     Two documents link when 100 * |A and B| >= percent * |A or B|, with A and B their sets of n words.
     """
     spark = docs.sparkSession
@@ -321,35 +325,64 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     links = found.where("b is null").groupBy(F.col("a").alias("of")).agg(F.sum("links").alias("links"))
     known = save(roots.join(classes, roots["node"] == classes["cid"]).select("cid", "root", "rep"))
     least = save(known.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "r"))
-    of = known.join(least, known["root"] == least["r"]).select(F.col("cid").alias("of2"), "component")
+    of = known.join(least, known["root"] == least["r"]).select(F.col("cid").alias("of2"), "component", *(["root"] if by_row else []))
     label = classes.join(of, classes["cid"] == of["of2"], "left").join(links, classes["cid"] == links["of"], "left")
-    label = save(label.select(F.col("cid").alias("label_cid"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links")))
+    root = [F.coalesce("root", "cid").alias("root")] if by_row else []
+    label = save(label.select(F.col("cid").alias("label_cid"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), *root))
     for x in (comp, size, found, known, least):
         free(x)
     out = every.join(label, every["cid"] == label["label_cid"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), *(["cid", "root"] if by_row else []))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay.
+    """One row of each component, of its smallest doc_id; rows without a doc_id or without words stay.
 
-    Only rows that a filter of fixed size holds for possible copies are shuffled to be looked up.
+    Rows that repeat a doc_id are judged one by one: of those in one component with the smallest doc_id, the one that
+    stays has the smallest class id and then the smallest JSON. Only rows that a filter of fixed size holds for
+    possible copies are shuffled to be looked up, and only those of doubtful doc_ids are hashed again.
     """
-    found = jaccard_components(docs, n, percent)
-    gone = save(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct())
-    held = docs.sparkSession.sparkContext.broadcast(id_filter(gone, lambda batch: batch.column(0).to_numpy(zero_copy_only=False)))
+    spark = docs.sparkSession
+    found = jaccard_components(docs, n, percent, by_row=True)
+    pairs = save(found.groupBy("doc_id", "cid", "root", "component_id").agg(F.count("*").alias("m")))
+    copies = F.sum(F.when(F.col("component_id") != F.col("doc_id"), F.col("m")).otherwise(0)).alias("copies")
+    per = pairs.groupBy(F.col("doc_id").alias("gone")).agg(F.sum("m").alias("m"), copies).where("copies > 0 or m > 1")
+    per = save(per.select("gone", (F.col("copies") < F.col("m")).alias("doubtful")))
+    ids = lambda batch: batch.column(0).to_numpy(zero_copy_only=False)
     at = docs.columns.index("doc_id")
 
-    def part(wanted: bool):
+    def part(held, wanted: bool):
         def run(batches):
             for batch in batches:
-                ids = batch.column(at).cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(in_filter(held.value, ids) == wanted))
+                own = batch.column(at).cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(in_filter(held.value, own) == wanted))
 
         return run
 
-    some = docs.mapInArrow(part(True), docs.schema)
-    return docs.mapInArrow(part(False), docs.schema).union(some.join(gone, some["doc_id"] == gone["gone"], "left_anti"))
+    held = spark.sparkContext.broadcast(id_filter(per.select("gone"), ids))
+    some = docs.mapInArrow(part(held, True), docs.schema)
+    out = docs.mapInArrow(part(held, False), docs.schema).union(some.join(per, some["doc_id"] == per["gone"], "left_anti"))
+    doubtful = per.where("doubtful").select("gone")
+    if doubtful.isEmpty():
+        return out
+
+    cid = fresh(docs, "cid")
+
+    def classed(batches):
+        for whole in batches:
+            for batch in T.pieces(whole, "text"):
+                _, grams, sizes = ngram_sets(batch.column(batch.schema.get_field_index("text")), n)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_class_ids(grams, sizes), mask=sizes == 0)], names=[*batch.schema.names, cid])
+
+    stays = pairs.where("root is not null and component_id = doc_id").join(doubtful, F.col("doc_id") == F.col("gone"), "left_semi")
+    stays = save(stays.groupBy("doc_id", "root").agg(F.min("cid").alias("stays")).select(F.col("doc_id").alias("of"), "stays"))
+    held = spark.sparkContext.broadcast(id_filter(doubtful, ids))
+    again = docs.mapInArrow(part(held, True), docs.schema).mapInArrow(classed, StructType([*docs.schema, StructField(cid, LongType())]))
+    empty = again.where(F.col(cid).isNull()).join(doubtful, F.col("doc_id") == F.col("gone"), "left_semi").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    first = again.join(stays, (again["doc_id"] == stays["of"]) & (again[cid] == stays["stays"]))
+    first = first.groupBy("of", "stays").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return out.union(empty).union(first)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,17 @@ def test_run_equals_its_stages(spark, sf):
     assert a == b and a
 
 
+def test_repeated_rows(spark):
+    """Near copies go row by row: a doc_id can have several texts, and equal rows are copies of each other."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, ""), (6, ""), (6, None), (7, c), (7, c), (8, d), (8, d + " more"), (9, d + " words"), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in P.near_unique(spark, docs.repartition(3), "").collect())
+    eighth = [t for i, t in got if i == 8]
+    assert len(eighth) == 1 and eighth[0].startswith(d)
+    assert got == Counter([(3, a), (5, b), (6, ""), (6, ""), (6, None), (7, c), (8, eighth[0]), (None, a), (None, a)])
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in P.STAGES:
