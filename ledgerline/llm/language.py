@@ -6,8 +6,8 @@ its ends). The Viterbi path over a text's words, with a penalty for each switch,
 is the one that labels most bytes, and its score that share.
 
 Learning counts trigrams of all labelled rows that are not held out, by language, in BUCKETS cells; each task adds
-up its own rows first. The driver holds one row of cells a language, for MAX_LANGUAGES languages at most (those
-with most documents). Nothing but the text is used to predict.
+up its own rows first. The driver and every task hold one row of cells a language, for all languages with a
+labelled row. Nothing but the text is used to predict.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is every text if nothing was
 learned; a null doc_id is never held out and not learned from; ties go to the language that sorts first; repeated
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from . import text as T
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 200
 SWITCH = 14.0
 _BLOCK = 4096
 _PIECE = 6 << 20
@@ -124,13 +123,13 @@ def _sum(table: pa.Table) -> pa.Table:
 def learn(labelled: DataFrame) -> dict:
     """A model from rows (lang, text) with a label: log probabilities of cells, and languages by script."""
     known = labelled.where("lang is not null").select("lang", "text")
-    top = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    rows = known.where(F.col("lang").isin(top)).mapInArrow(_count, "lang string, block int, cells binary").groupBy("lang", "block").applyInArrow(_sum, "lang string, block int, cells binary").collect()
+    rows = known.mapInArrow(_count, "lang string, block int, cells binary").groupBy("lang", "block").applyInArrow(_sum, "lang string, block int, cells binary").collect()
     langs = sorted({r.lang for r in rows})
+    place = {lang: i for i, lang in enumerate(langs)}
     cells = np.zeros((len(langs), BUCKETS + _N_SCRIPTS + 1))
     for r in rows:
         x = np.frombuffer(r.cells, np.int64)
-        cells[langs.index(r.lang), r.block * _BLOCK : r.block * _BLOCK + len(x)] = x
+        cells[place[r.lang], r.block * _BLOCK : r.block * _BLOCK + len(x)] = x
     tri, script = cells[:, :BUCKETS], cells[:, BUCKETS:-1]
     logp = np.log((tri + 0.5) / (tri.sum(1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
     used = script >= 0.005 * np.maximum(script.sum(1, keepdims=True), 1)  # (language, script)
@@ -149,7 +148,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     order = np.argsort(-length, kind="stable")
     length, begin = length[order], first[:-1][order]
     active = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")  # rows with a word at each step
-    back = np.zeros((n, langs), np.uint8)
+    back = np.zeros((n, langs), np.min_scalar_type(langs - 1))
     at = begin[: active[0]]
     best = score[at].astype(np.float64)
     last = np.zeros((len(length), langs))
@@ -160,7 +159,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
         top = best.argmax(1)
         peak = best[np.arange(k), top] - switch
         jump = peak[:, None] > best
-        back[begin[:k] + t] = np.where(jump, top[:, None], np.arange(langs)).astype(np.uint8)
+        back[begin[:k] + t] = np.where(jump, top[:, None], np.arange(langs)).astype(back.dtype)
         last[:k] = np.where(jump, peak[:, None], best) + score[begin[:k] + t]
     now = last.argmax(1)
     for t in range(length[0] - 1, -1, -1):

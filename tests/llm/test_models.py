@@ -151,6 +151,21 @@ def test_pages_query(spark, sf):
     assert all(r.n_chars == len(r.text) > 0 for r in rows)
 
 
+def test_more_than_256_languages(spark):
+    """No language is left out for being rare, and back pointers hold all of them."""
+    score = np.full((4, 300), -50, np.float32)
+    score[:2, 290] = score[2:, 3] = 0
+    assert L.viterbi(score, np.array([0, 4]), 1.0).tolist() == [290, 290, 3, 3]
+    rng = random.Random(4)
+    words = {f"l{i:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(8)] for i in range(260)}
+    rows = [(lang, " ".join(w * 3)) for lang, w in words.items()]
+    model = L.learn(spark.createDataFrame(rows, "lang string, text string").repartition(2))
+    assert model["langs"] == sorted(words)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words.values())], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.lang_pred for r in L.identify(docs, model).select("doc_id", "lang_pred").collect()}
+    assert got == dict(enumerate(words))
+
+
 # --- licenses -----------------------------------------------------------------------------------------------
 
 
