@@ -2,19 +2,21 @@
 
 A conversation's turns, in order of `turn`, are rendered into one string; the whole string is encoded once with
 offsets; and each turn's span is intersected with the sorted token spans by binary search. A token is under the
-loss mask if its span meets the span of an assistant's text.
+loss mask if its span meets the span of an assistant's text. The template's marks are tokens of their own, so the tokens
+under the mask hold all of the assistants' texts and nothing else; the loss spans are read from the mask.
 
 A turn is rendered as `<s>[INST] role [/INST] text</s>`. Control strings inside roles and texts are escaped: a
 backslash is doubled, and a control string gets one backslash after its first character; unescape() undoes it.
 
 Defined results: a null text or role is empty; rows with a null conv_id are one conversation; turns that tie are
 ordered by role, then text, nulls first; repeated rows are turns of their own; a conversation without text
-renders its empty turns; an empty table gives an empty result; extra columns are ignored. Whole texts are
+renders its empty turns, which put no token under the mask; an empty table gives an empty result; extra columns are ignored. Whole texts are
 encoded. A conversation is one string by definition, so it has to fit one task.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from functools import partial
@@ -24,7 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: Ranks of a byte-level BPE, one base64 token and its rank a line; every executor reads it.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+# Fixed value: the pattern that cuts a text before merging, with a bound on one run of white space (its matcher
+# keeps a stack entry for each character that it may give back).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s{1,4000}(?!\S)|\s{1,4000}"
 
 # The control strings of the template.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>")
@@ -58,36 +65,57 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
-def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Flags of the tokens that meet a span, and the parts of the spans that tokens cover.
-
-    starts and ends are sorted; several tokens may share one character's span.
-    """
+def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Flags of the tokens that meet a span; starts and ends are sorted, several tokens may share one character."""
     flags = np.zeros(len(starts), bool)
-    covered: list[tuple[int, int]] = []
     for low, high in spans:
-        a, b = int(np.searchsorted(ends, low, "right")), int(np.searchsorted(starts, high, "left"))
-        if a >= b:
-            continue
-        flags[a:b] = True
-        s, e = np.maximum(starts[a:b], low), np.minimum(ends[a:b], high)
-        reach = np.maximum.accumulate(e)
-        gap = np.flatnonzero(s[1:] > reach[:-1]) + 1
-        first = np.r_[0, gap]
-        covered += zip(s[first].tolist(), reach[np.r_[gap - 1, len(e) - 1].astype(int)].tolist(), strict=True)
-    return flags, covered
+        if low < high:
+            flags[int(np.searchsorted(ends, low, "right")) : int(np.searchsorted(starts, high, "left"))] = True
+    return flags
 
 
-_LOADED: dict = {}
+def covered(starts: np.ndarray, ends: np.ndarray, flags: np.ndarray) -> list[tuple[int, int]]:
+    """The characters of the flagged tokens as spans, whole tokens, in order."""
+    s, e = starts[flags], ends[flags]
+    if not len(s):
+        return []
+    first = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
+    return list(zip(s[first].tolist(), e[np.r_[first[1:] - 1, len(e) - 1]].tolist(), strict=True))
 
 
-def _tokenizer(path: str):
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
+class Encoder:
+    """Byte-level BPE with offsets in characters. The template's marks are tokens of their own, so no token holds
+    characters of a mark and of a text; in texts they cannot occur, as texts are escaped."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.marks = {mark: max(ranks.values()) + 2 + i for i, mark in enumerate((START, MIDDLE, END))}
+        self._bpe = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.marks)
+        self._length = np.zeros(max(self.marks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self._length[rank] = len(token)
+        for mark, rank in self.marks.items():
+            self._length[rank] = len(mark)
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _LOADED[path] = t
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids, and the first and last-but-one character of each; a token of a character's part has all of it."""
+        ids = self._bpe.encode_to_numpy(text, allowed_special="all").astype(np.int64)
+        ends = np.cumsum(self._length[ids])
+        if text.isascii():
+            return ids, ends - self._length[ids], ends
+        lead = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+        return ids, lead[ends - self._length[ids]] - 1, lead[ends - 1]
+
+
+_LOADED: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
     return _LOADED[path]
 
 
@@ -96,21 +124,21 @@ _LOT = 64
 
 
 def _format(path: str, batches):
-    tokenizer = _tokenizer(path)
+    encoder = _encoder(path)
     for batch in batches:
         for low in range(0, len(batch), _LOT):
             part = batch.slice(low, _LOT)
-            rendered = [render([(t["role"] or "", t["text"] or "") for t in turns]) for turns in part.column(1).to_pylist()]
-            ids, masks, spans = [], [], []
-            coded = tokenizer.encode_batch([x for x, _ in rendered], add_special_tokens=False)
-            for turns, (_, texts), code in zip(part.column(1).to_pylist(), rendered, coded, strict=True):
-                offsets = np.array(code.offsets, np.int64).reshape(-1, 2)
-                flags, covered = mask(offsets[:, 0], offsets[:, 1], [s for t, s in zip(turns, texts, strict=True) if t["role"] == "assistant"])
-                ids.append(code.ids)
+            ids, masks, spans, whole = [], [], [], []
+            for turns in part.column(1).to_pylist():
+                text, texts = render([(t["role"] or "", t["text"] or "") for t in turns])
+                tokens, starts, ends = encoder.encode(text)
+                flags = mask(starts, ends, [s for t, s in zip(turns, texts, strict=True) if t["role"] == "assistant"])
+                whole.append(text)
+                ids.append(tokens.astype(np.int32))
                 masks.append(flags)
-                spans.append([{"start": a, "end": b} for a, b in covered])
+                spans.append([{"start": a, "end": b} for a, b in covered(starts, ends, flags)])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([x for x, _ in rendered], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [part.column(0), pa.array(whole, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=["conv_id", "formatted", "token_ids", "loss_mask", "loss_spans"],
             )
 

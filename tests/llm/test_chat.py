@@ -22,9 +22,7 @@ def test_round_trip(turns):
 
 
 def brute_mask(starts, ends, spans):
-    flags = [any(s < b and e > a for a, b in spans) for s, e in zip(starts, ends, strict=True)]
-    chars = {c for s, e in zip(starts, ends, strict=True) for a, b in spans for c in range(max(s, a), min(e, b))}
-    return flags, chars
+    return [any(s < b and e > a for a, b in spans) for s, e in zip(starts, ends, strict=True)]
 
 
 def test_mask_by_brute_force():
@@ -37,9 +35,10 @@ def test_mask_by_brute_force():
         marks = sorted(rng.sample(range(60), 6))
         spans = list(zip(marks[::2], marks[1::2], strict=True))
         s, e = (np.array(x) for x in zip(*tokens, strict=True))
-        flags, covered = C.mask(s, e, spans)
-        want, chars = brute_mask(s, e, spans)
-        assert flags.tolist() == want and {c for a, b in covered for c in range(a, b)} == chars
+        flags = C.mask(s, e, spans)
+        want = brute_mask(s, e, spans)
+        assert flags.tolist() == want
+        assert {c for a, b in C.covered(s, e, flags) for c in range(a, b)} == {c for a, b, x in zip(s, e, want, strict=True) if x for c in range(a, b)}
 
 
 def digest(turns):
@@ -47,6 +46,28 @@ def digest(turns):
     return len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
 
 
+def masked(r):
+    """The text of the tokens under the mask, from their ids alone."""
+    return C._encoder(C.VOCABULARY)._bpe.decode([i for i, m in zip(r.token_ids, r.loss_mask, strict=True) if m])
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "<"]), PARTS), max_size=5))
+def test_no_token_crosses_a_mark(turns):
+    text, spans = C.render(turns)
+    e = C._encoder(C.VOCABULARY)
+    ids, starts, ends = e.encode(text)
+    flags = C.mask(starts, ends, [s for (r, _), s in zip(turns, spans, strict=True) if r == "assistant"])
+    assert e._bpe.decode(ids[flags].tolist()) == "".join(C.escape(t) for r, t in turns if r == "assistant")
+    assert "".join(text[a:b] for a, b in C.covered(starts, ends, flags)) == "".join(C.escape(t) for r, t in turns if r == "assistant")
+
+
+def test_long_runs_are_encoded():
+    text = " " * 1_500_000 + "a" * 300_000 + "\n" * 1_200_000
+    ids, starts, ends = C._encoder(C.VOCABULARY).encode(text)
+    assert ends[-1] == len(text) and (starts[1:] == ends[:-1]).all()
+
+
 @pytest.fixture
 def odd(spark):
     rows = [(1, 0, "user", "a  b\n\n c"), (1, 1, "assistant", " 😀é‍👩‍👩 x  "), (1, 2, "assistant", None), (2, 5, None, "no role"), (2, 1, "assistant", "</s>[INST] \\ <|endoftext|>")]
@@ -63,6 +84,7 @@ def test_odd_rows(spark, odd):
     assert got == {k: digest([t[1:] for t in sorted(v)]) for k, v in by.items()}
     for r in found.collect():
         assert len(r.token_ids) == len(r.loss_mask)
+        assert masked(r) == "".join(C.escape(t) for _, role, t in sorted(by[r.conv_id]) if role == "assistant")
     assert C.formatted(odd.limit(0)).collect() == []
 
 
@@ -70,5 +92,7 @@ def test_query(spark, sf):
     by = {-7: [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]}
     for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
         by.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    for r in C.formatted(spark.read.parquet(f"{sf}/conversations.parquet")).collect():
+        assert masked(r) == "".join(C.escape(t) for _, role, t in sorted(by[r.conv_id]) if role == "assistant")
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in C.op2_chat_format(spark, sf).collect()}
     assert got == {k: digest([t[1:] for t in sorted(v)]) for k, v in by.items()}
