@@ -1,6 +1,7 @@
 """Language identification of mixed-language text.
 
-A word's script, from fixed ranges of code points, narrows its candidate languages to those seen in that script
+A word is a run without white space, cut where its script changes and, in scripts written without spaces, at each
+letter. A word's script, from fixed ranges of code points, narrows its candidate languages to those seen in that script
 when learning. Its score for a language is the sum of log probabilities of its byte trigrams (with the spaces at
 its ends). The Viterbi path over a text's words, with a penalty for each switch, labels spans; the text's language
 is the one that labels most bytes, and its score that share.
@@ -9,19 +10,19 @@ Learning counts trigrams of all labelled rows that are not held out, by language
 up its own rows first. The driver and every task hold one row of cells a language, for all languages with a
 labelled row. Nothing but the text is used to predict.
 
-Defined results: null texts and texts without a letter are `und` with score 0, as is every text if nothing was
+Defined results: null texts and texts without a letter (Unicode category L) are `und` with score 0, as is every text if nothing was
 learned; a null doc_id is never held out and not learned from; ties go to the language that sorts first; repeated
 rows get equal results; an empty table gives an empty result; extra columns are ignored. Whole texts are used.
 """
 
 from __future__ import annotations
 
-import re
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ BUCKETS = 1 << 16
 SWITCH = 14.0
 _BLOCK = 4096
 _PIECE = 6 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 # First code point, last code point and number of a script.
 SCRIPTS = (
@@ -51,6 +52,8 @@ SCRIPTS = (
     (0x4E00, 0x9FFF, 14), (0x3400, 0x4DBF, 14),  # Han
 )
 _N_SCRIPTS = 15
+#: Scripts that are written without spaces between words.
+_UNSPACED = np.isin(np.arange(_N_SCRIPTS), [10, 13, 14])
 _SCRIPT_OF = np.zeros(0x10000, np.uint8)
 for _low, _high, _script in SCRIPTS:
     _SCRIPT_OF[_low : _high + 1] = _script
@@ -88,8 +91,25 @@ def _scripts(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _word_scripts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.maximum.reduceat(_scripts(data), starts) if len(starts) else np.zeros(0, np.uint8)
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and script of every word, and the index of each row's first one.
+
+    A run without white space is cut before a letter whose script is not that of the letter before it, and before every
+    letter of a script that is written without spaces.
+    """
+    starts, ends, first = T.word_spans(data, offsets)
+    found = _scripts(data)
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint8), first
+    letters = np.flatnonzero(found)
+    kind = found[letters]
+    cut = np.flatnonzero((kind[1:] != kind[:-1]) | _UNSPACED[kind[1:]]) + 1
+    word = np.searchsorted(starts, letters[cut], "right") - 1
+    cut = letters[cut][letters[cut - 1] >= starts[word]]  # the letter before is in the same run
+    if len(cut):
+        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+        first = np.searchsorted(starts, offsets)
+    return starts, ends, np.maximum.reduceat(found, starts), first
 
 
 def _count(batches):
@@ -102,9 +122,9 @@ def _count(batches):
             feature = _features(data)[1 : offsets[-1]] if len(data) > 3 else np.zeros(0, np.uint32)
             owner = np.repeat(index, np.diff(offsets))[: len(feature)]
             tri = np.bincount(owner * BUCKETS + feature[: len(owner)], minlength=len(langs) * BUCKETS).reshape(len(langs), -1)
-            starts, _, first = T.word_spans(data, offsets)
+            _, _, found, first = _words(data, offsets)
             who = np.repeat(index, np.diff(first))
-            found = _word_scripts(data, starts[first[0] : first[-1]])
+            found = found[first[0] : first[-1]]
             script = np.bincount(who * _N_SCRIPTS + found, minlength=len(langs) * _N_SCRIPTS).reshape(len(langs), -1)
             docs = np.bincount(index, minlength=len(langs))
             for i, lang in enumerate(langs.tolist()):
@@ -183,7 +203,7 @@ def _label(model, switch: float, text_at: int, batches):
             pred, share, spans = ["und"] * rows, np.zeros(rows), [[] for _ in range(rows)]
             if langs and letters.any():
                 data, offsets = _spaced(column)
-                starts, ends, first = T.word_spans(data, offsets)
+                starts, ends, script, first = _words(data, offsets)
                 first = first - first[0]
                 feature = _features(data)
                 score = np.empty((len(starts), len(langs)), np.float32)
@@ -191,7 +211,7 @@ def _label(model, switch: float, text_at: int, batches):
                     total = np.zeros(len(feature) + 1)
                     np.cumsum(m["logp"][feature, i], out=total[1:])
                     score[:, i] = total[ends - 1] - total[starts - 1]
-                score += m["off"][_word_scripts(data, starts)]
+                score += m["off"][script]
                 state = viterbi(score, first, switch)
                 weight = (ends - starts).astype(np.float64)
                 row = np.repeat(np.arange(rows), np.diff(first))

@@ -64,6 +64,16 @@ def test_mixed_text_spans_and_odd_rows(spark):
     assert L.identify(spark.createDataFrame([], SCHEMA), model).collect() == []
 
 
+def test_letters_and_spans_without_spaces(spark):
+    zh, th, en = "我们今天去学校学习中文", "วันนี้เราไปโรงเรียน", "we go to school today"
+    model = L.learn(spark.createDataFrame([(zh * 3, "zh"), (th * 3, "th"), (en * 3, "en")], "text string, lang string"))
+    asked = [(1, "½ ² 12 ⅷ"), (2, zh + th + zh), (3, "school" + th), (4, "ª")]
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert (got[1].lang_pred, got[1].score, got[1].spans) == ("und", 0.0, [])
+    assert [s.lang for s in got[2].spans] == ["zh", "th", "zh"] and [s.lang for s in got[3].spans] == ["en", "th"]
+    assert got[4].lang_pred != "und"
+
+
 def test_language_accuracy_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
