@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .text import mix
@@ -50,6 +50,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """The columns that Spark can hash."""
+    return [f.name for f in df.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+
+
 def parts(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -188,19 +193,32 @@ def _round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hook, save(rest.mapInArrow(_local, "a long, b long").distinct())
 
 
-def offsets(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, lots: int | None = None) -> DataFrame:
+def lots_of(spark: SparkSession) -> int:
+    """Lots grow with the session's shuffle partitions."""
+    return max(256, 4 * parts(spark))
+
+
+def lot(hashed: Column, lots: int) -> Column:
+    """A lot from 0 to lots - 1 that rises with a uniform 64-bit hash."""
+    at = F.floor((hashed.cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(float(lots)))
+    return F.least(at, F.lit(lots - 1)).cast("int")
+
+
+def lot_bases(df: DataFrame, keys: list[str], hashed: str, value: str, lots: int) -> DataFrame:
+    """(keys, __lot, __base): what all earlier lots of the same keys sum up to."""
+    sums = df.groupBy(*keys, lot(F.col(hashed), lots).alias("__lot")).agg(F.sum(value).alias("__sum"))
+    low = Window.partitionBy(*keys).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)  # at most `lots` rows a key
+    return save(sums.withColumn("__base", F.coalesce(F.sum("__sum").over(low), F.lit(0)).cast("long")).drop("__sum"))
+
+
+def offsets(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, base: DataFrame, lots: int) -> DataFrame:
     """df with column out: the sum of value over the rows of the same keys that come earlier in the order.
 
-    order[0] is a uniform 64-bit hash. Rows are dealt into lots by its high bits, lots are summed first, and a
-    window runs inside each lot only, so a hot key's rows are never in one task. Lots grow with the session's
-    shuffle partitions.
+    order[0] is a uniform 64-bit hash. Rows are dealt into lots by its high bits; base = lot_bases() of these rows, or
+    of the same keys, hashes and values without df's other columns; and a window runs inside each lot only, so a hot
+    key's rows are never in one task.
     """
-    lots = lots or max(256, 4 * parts(df.sparkSession))
-    lot = F.floor((F.col(order[0]).cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(float(lots)))
-    df = df.withColumn("__lot", F.least(lot, F.lit(lots - 1)).cast("int"))
-    sums = df.groupBy(*keys, "__lot").agg(F.sum(value).alias("__sum"))
-    low = Window.partitionBy(*keys).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)  # at most `lots` rows a key
-    base = save(sums.withColumn("__base", F.coalesce(F.sum("__sum").over(low), F.lit(0))).drop("__sum"))
+    df = df.withColumn("__lot", lot(F.col(order[0]), lots))
     same = F.lit(True)
     for c in [*keys, "__lot"]:
         same = same & df[c].eqNullSafe(base[c])
