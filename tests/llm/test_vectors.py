@@ -65,38 +65,47 @@ def test_empty_and_null_ids(spark):
 def test_recall_at_the_threshold():
     """Pairs at the threshold itself pass the collision count, and meet in a cell, as often as planned."""
     rng = np.random.default_rng(0)
-    p = E.plan(1_000_000, 64, 0.9)
+    p = E.plan(1_000_000, 0.9)
     x = rng.standard_normal((2000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     y = rng.standard_normal((2000, 64))
     y -= (y * x).sum(1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1)[:, None]
     y = 0.9 * x + math.sqrt(1 - 0.81) * y
-    bx, reach = E._bins(x, p)
-    by, _ = E._bins(y, p)
-    hits = (np.abs(bx.astype(int) - by.astype(int)) <= reach).sum(1)
-    assert (hits >= p["count"]).mean() > 0.99
+    own, half = E._lines(64, p["lines"], 2), E.window(64, 0.9)
+    collide = lambda z: (np.abs(x @ own - z @ own) <= half).sum(1) >= p["count"]
+    assert collide(y).mean() > 0.99
     lines = E._lines(64, p["bits"] * p["rounds"], 1)
     same = ((x @ lines >= 0) == (y @ lines >= 0)).reshape(2000, p["rounds"], p["bits"]).all(2).any(1)
     assert p["bits"] >= 9 and same.mean() > 0.99
     far = rng.standard_normal((2000, 64))
     far /= np.linalg.norm(far, axis=1)[:, None]
-    assert ((np.abs(bx.astype(int) - E._bins(far, p)[0].astype(int)) <= reach).sum(1) >= p["count"]).mean() < 0.02
+    assert collide(far).mean() < 0.02
 
 
-def test_one_longer_vector(spark):
-    """The window is that of a pair's own length, whatever other lengths the table has."""
+def test_collisions_by_brute_force():
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((9, 5)).round(1), rng.standard_normal((30, 5)).round(1)
+    order = y.argsort(0, kind="stable")
+    got = E.collisions(x, order, np.take_along_axis(y, order, 0), 0.5)
+    want = [[sum(a - 0.5 <= b <= a + 0.5 for a, b in zip(q, m, strict=True)) for q in x] for m in y]
+    assert got.tolist() == want
+
+
+def test_mixed_lengths(spark):
+    """Windows are those of a pair's own length, whatever other lengths the table has."""
     rng = np.random.default_rng(8)
     rows = [(1, rng.standard_normal(640).tolist(), None, None)]
-    for i in range(60):
-        x, y = rng.standard_normal((2, 64))
-        x /= np.linalg.norm(x)
-        y -= (y @ x) * x
-        t = rng.uniform(0.9, 0.95)
-        rows += [(10 + 2 * i, x.tolist(), None, None), (11 + 2 * i, (t * x + math.sqrt(1 - t * t) * y / np.linalg.norm(y)).tolist(), None, None)]
+    for dim, pairs in ((64, 60), (256, 30), (1024, 20)):
+        for _ in range(pairs):
+            x, y = rng.standard_normal((2, dim))
+            x /= np.linalg.norm(x)
+            y -= (y @ x) * x
+            t = rng.uniform(0.9, 0.95)
+            rows += [(len(rows) + 10, x.tolist(), None, None), (len(rows) + 11, (t * x + math.sqrt(1 - t * t) * y / np.linalg.norm(y)).tolist(), None, None)]
     got = sorted(tuple(r) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     want = brute(rows)
-    assert sum(n for _, n, _, _ in want) >= 116
+    assert sum(n for _, n, _, _ in want) >= 214
     assert got == want
 
 
@@ -106,10 +115,8 @@ def test_tiles(same, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((5, 8))[rng.integers(0, 5, 40)] + 0.1 * rng.standard_normal((40, 8))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    p = E.plan(40, 8, 0.9)
-    b, reach = E._bins(x, p)
-    y, by = (x, b) if same else (x[:15], b[:15])
-    i, j = E.near_pairs(x, y, b, by, reach, p, same)
+    y = x if same else x[:15]
+    i, j = E.near_pairs(x, y, E.plan(40, 0.9), same)
     got = set(zip(i.tolist(), j.tolist(), strict=True))
     want = {(a, c) for a in range(40) for c in range(len(y)) if (c < a if same else True) and x[a] @ y[c] >= 0.9}
     assert got == want
