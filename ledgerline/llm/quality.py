@@ -1,25 +1,29 @@
 """Quality rules and robust multivariate outliers.
 
 Every text gets counts of words, symbols, repeated lines and repeated words. Texts that fail the base rules are
-rejected. The rest give a vector of transformed ratios, and minimum-covariance-determinant estimates are made
-for each pair of language and source: from a robust start, concentration steps take the 60 % of a group's
-vectors nearest to the centre and fit centre and covariance anew. A step is one pass: tasks add up the moments
-of each group's vectors by ring of distance, and whole rings up to the 60 % mark make the new fit, so that up to
-40 % of outliers cannot move it. Vectors whose
-squared Mahalanobis distance exceeds the cutoff are rejected.
+rejected. The rest give a vector of transformed ratios, and a minimum-covariance-determinant estimate is made for every
+pair of language and source and for every language, whatever its size: from several starts, concentration steps take
+the COVERED share of a group's vectors nearest to the centre and fit centre and covariance anew, and the start that
+ends with the smallest determinant wins. Vectors whose squared Mahalanobis distance exceeds a quantile of chi-square
+are rejected.
 
-Pairs with fewer than MIN_GROUP rows, and those beyond the MAX_GROUPS largest, share their language's group;
-languages with fewer share one group. The driver holds one fit a group: MAX_GROUPS pairs and as many languages
-at most. Variances have floors, so that a ratio which is 0 for nearly all cannot reject by itself for little.
+A group's vectors are first added up by cells of a fixed grid (count, sums and products, so moments are exact); the fit of
+a group reads its cells, at most GRID of them however many rows there are, and a hot pair's rows meet in partial sums.
+Estimates of few rows lean on others: a pair's on its language's, a language's covariance on the mean of all languages'
+covariances, both with SHRINK rows' weight; centres of different languages are never mixed. To every covariance that of
+counting noise in a text of MIN_WORDS words is added (the regularised form of the estimate), so that no ratio is
+judged finer than it can be measured, and determinants are positive.
+
+Fits are a table of one row a pair, joined to the rows; Spark sends it to all tasks only if it is small.
 
 Defined results: a null or empty text has no words and fails the base rules; null language and source are
-values of their own; a group of fewer than 20 rows rejects nothing; repeated rows get equal verdicts; an empty
-table gives an empty result; extra columns are ignored by verdicts() and kept by keep_good().
+values of their own; a language's single row is its own centre and is kept if it passes the base rules; repeated rows
+get equal verdicts; an empty table gives an empty result; extra columns are ignored by verdicts() and kept by keep_good().
 """
 
 from __future__ import annotations
 
-from functools import partial
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +35,34 @@ from .scratch import free, save
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-MIN_GROUP = 200
-MAX_GROUPS = 20_000
 COVERED = 0.6
-STEPS = 8
-CUTOFF = 60.0
-#: For COVERED of four normal variables: the covariance of the nearest 60 % times this estimates that of all.
-CONSISTENCY = 1.821
-_FLOOR = np.array([0.12, 0.05, 0.06, 0.2]) ** 2
+STARTS = 12
+STEPS = 30
+SHRINK = 50
+#: The share of normal vectors that the cutoff rejects, and the quantile of chi-square with four degrees for it.
+REJECTED = 1e-5
+
+
+def _quantile(rate: float) -> float:
+    """The x with exp(-x/2) (1 + x/2) = rate: the tail of chi-square with four degrees of freedom."""
+    x = 1.0
+    for _ in range(100):
+        x = 2 * (math.log1p(x / 2) - math.log(rate))
+    return x
+
+
+CUTOFF = _quantile(REJECTED)
+#: The covariance of the nearest COVERED share of four normal variables, times this, estimates that of all.
+CONSISTENCY = COVERED / (1 - math.exp(-(q := _quantile(1 - COVERED)) / 2) * (1 + q / 2 + q * q / 8))
+#: Deviations by chance in MIN_WORDS words: of the mean logarithm of word lengths (0.6 a word); of the root of a count's ratio
+#: (half of 1 / sqrt(n)); and of that for counts that come in clumps of six words.
+_FLOOR = np.array([0.6, 0.5, 0.5, 0.5 * 6**0.5]) ** 2 / MIN_WORDS
 _DIM = len(_FLOOR)
 _PAIRS = [(i, j) for i in range(_DIM) for j in range(i, _DIM)]
+_V = [f"v{i}" for i in range(_DIM)]
 _MOMENTS = ["m", *[f"s{i}" for i in range(_DIM)], *[f"s{i}{j}" for i, j in _PAIRS]]
+_MOST = (100, 40, 29, 9)  # cells by statistic; the last one of each holds all beyond
+GRID = math.prod(_MOST)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -116,137 +137,142 @@ def _measured(batches):
             yield pa.RecordBatch.from_arrays(cols, names=[*(batch.schema.names[i] for i in others), *COUNTS, "base_failed", *(f"v{i}" for i in range(_DIM))])
 
 
-def _rings(distance: np.ndarray) -> np.ndarray:
-    """Ring numbers: quarter steps of the logarithm of the squared distance."""
-    return np.clip(np.floor(4 * np.log2(np.maximum(distance, 1e-9))) + 40, 0, 119).astype(np.int32)
-
-
-def _distances(v: np.ndarray, group: np.ndarray, fits) -> np.ndarray:
-    d = v - fits["mu"][group]
-    return np.einsum("ni,nij,nj->n", d, fits["inverse"][group], d)
-
-
-def _moments(fits, batches):
-    """Moments by group and ring of a task's vectors."""
-    total = np.zeros((0, len(_MOMENTS)))
-    keys = np.zeros(0, np.int64)
-    fits = fits.value
-    for batch in batches:
-        v = np.stack([batch.column(i + 1).to_numpy() for i in range(_DIM)], 1)
-        group = batch.column(0).to_numpy().astype(np.int64)
-        key = group * 128 + _rings(_distances(v, group, fits))
-        m = np.concatenate([np.ones((len(v), 1)), v, np.stack([v[:, i] * v[:, j] for i, j in _PAIRS], 1)], 1)
-        keys, index = np.unique(np.concatenate([keys, key]), return_inverse=True)
-        new = np.zeros((len(keys), len(_MOMENTS)))
-        np.add.at(new, index, np.concatenate([total, m]))
-        total = new
-    if len(keys):
-        yield pa.RecordBatch.from_arrays([pa.array(keys // 128, pa.int32()), pa.array(keys % 128, pa.int32()), *(pa.array(total[:, i]) for i in range(len(_MOMENTS)))], names=["grp", "ring", *_MOMENTS])
-
-
-def _fitted(rows: list, old: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """New fits from the moments of rings up to COVERED of each group."""
-    mu, inverse, size = old["mu"].copy(), old["inverse"].copy(), old["size"].copy()
-    by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(r["grp"], []).append(r)
-    for g, rings in by.items():
-        rings.sort(key=lambda r: r["ring"])
-        m = np.array([[r[k] for k in _MOMENTS] for r in rings])
-        last = int(np.searchsorted(np.cumsum(m[:, 0]), COVERED * m[:, 0].sum()))
-        t = m[: last + 1].sum(0)
-        size[g] = int(m[:, 0].sum())
-        mu[g] = t[1 : 1 + _DIM] / t[0]
-        cov = np.zeros((_DIM, _DIM))
-        for k, (i, j) in enumerate(_PAIRS):
-            cov[i, j] = cov[j, i] = t[1 + _DIM + k] / t[0] - mu[g][i] * mu[g][j]
-        inverse[g] = np.linalg.inv(CONSISTENCY * cov + np.diag(_FLOOR))
-    return {"mu": mu, "inverse": inverse, "size": size}
-
-
-def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """The measured rows of docs with their group, and the fits of all groups."""
-    spark = docs.sparkSession
+def _matrix(products: np.ndarray) -> np.ndarray:
+    out = np.zeros((_DIM, _DIM))
+    for k, (i, j) in enumerate(_PAIRS):
+        out[i, j] = out[j, i] = products[k]
+    return out
+
+
+def _fit(cells: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of the cells' rows, of each cell the given share."""
+    t = inside @ cells
+    mu = t[1 : 1 + _DIM] / t[0]
+    return mu, _matrix(t[1 + _DIM :] / t[0]) - np.outer(mu, mu)
+
+
+def mcd(cells: np.ndarray, floor: np.ndarray = _FLOOR, covered: float = COVERED, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and raw covariance of the covered share of rows with the smallest determinant of covariance plus floor.
+
+    cells: rows of _MOMENTS. The first start is the cells' medians, the others are random sets of five cells; all take
+    two steps, and the three best go on until nothing changes.
+    """
+    weight = cells[:, 0]
+    mean = cells[:, 1 : 1 + _DIM] / weight[:, None]
+    need = covered * weight.sum()
+
+    def step(mu: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        d = mean - mu
+        far = np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov + np.diag(floor)), d)
+        order = np.argsort(far, kind="stable")
+        upto = np.cumsum(weight[order])
+        inside = np.zeros(len(cells))
+        inside[order] = np.clip((need - (upto - weight[order])) / weight[order], 0, 1)
+        mu, cov = _fit(cells, inside)
+        return mu, cov, np.linalg.slogdet(cov + np.diag(floor))[1]
+
+    order = np.argsort(mean, axis=0, kind="stable")
+    middle = np.array([mean[o, i][np.searchsorted(np.cumsum(weight[o]), weight.sum() / 2)] for i, o in enumerate(order.T)])
+    rng = np.random.Generator(np.random.PCG64(1))
+    few = [rng.choice(len(cells), _DIM + 1, p=weight / weight.sum()) for _ in range(starts - 1 if len(cells) > 1 else 0)]
+    first = [(middle, np.zeros((_DIM, _DIM))), *((mean[f].mean(0), np.cov(mean[f].T, bias=True)) for f in few)]
+    tried = []
+    for mu, cov in first:
+        for _ in range(2):
+            mu, cov, det = step(mu, cov)
+        tried.append((det, tuple(mu), mu, cov))
+    best = None
+    for det, _, mu, cov in sorted(tried, key=lambda x: x[:2])[:3]:
+        for _ in range(STEPS):
+            mu, cov, new = step(mu, cov)
+            if new >= det - 1e-9:
+                break
+            det = new
+        if best is None or det < best[0]:
+            best = det, mu, cov
+    return best[1], best[2]
+
+
+_FIT = "n double, mu array<double>, cov array<double>"
+
+
+def _fits(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The estimate of every group of cells; a group has at most GRID rows."""
+    grid = [f"c{i}" for i in range(_DIM)]
+
+    def run(table: pa.Table) -> pa.Table:
+        got = np.stack([table.column(c).to_numpy() for c in _MOMENTS], 1)
+        got = got[np.lexsort([table.column(c).to_numpy() for c in grid])]
+        mu, cov = mcd(got)
+        cov = CONSISTENCY * cov
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "n": [got[:, 0].sum()], "mu": [mu], "cov": [[cov[i, j] for i, j in _PAIRS]]})
+
+    summed = cells.groupBy(*keys, *grid).agg(*[F.sum(m).alias(m) for m in _MOMENTS])
+    return summed.groupBy(*keys).applyInArrow(run, ", ".join([f"{k} string" for k in keys] + [_FIT]))
+
+
+def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The measured rows of docs, and the fits: l, s (language, source), mu and the inverse of the covariance."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang string, source string, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, {', '.join(f'v{i} double' for i in range(_DIM))}"
+    schema = f"doc_id {kind}, lang string, source string, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, {', '.join(f'{v} double' for v in _V)}"
     rows = save(docs.select("doc_id", "lang", "source", "text").mapInArrow(_measured, schema))
-    good = rows.where("not base_failed")
-    pairs = good.groupBy("lang", "source").count().where(F.col("count") >= MIN_GROUP)
-    pairs = pairs.orderBy(F.desc("count"), "lang", "source").limit(MAX_GROUPS).collect()
-    langs = good.groupBy("lang").count().where(F.col("count") >= MIN_GROUP).orderBy(F.desc("count"), "lang").limit(MAX_GROUPS).collect()
-    fits: dict = {"langs": {r.lang: i + 1 for i, r in enumerate(langs)}, "pairs": {(r.lang, r.source): i + 1 + len(langs) for i, r in enumerate(pairs)}}
-    n = 1 + len(langs) + len(pairs)
-    held = spark.sparkContext.broadcast(fits)
-
-    def grouped(batches):
+    cell = [F.least(F.floor(F.col(v) / float(2 * sd if i == 3 else sd) * 2), F.lit(most - 1)).cast("int").alias(f"c{i}") for i, (v, sd, most) in enumerate(zip(_V, np.sqrt(_FLOOR), _MOST, strict=True))]
+    sums = [F.count("*").cast("double"), *[F.sum(v) for v in _V], *[F.sum(F.col(_V[i]) * F.col(_V[j])) for i, j in _PAIRS]]
+    good = rows.where("not base_failed").select("lang", "source", *_V, *cell)
+    cells = save(good.groupBy("lang", "source", *[f"c{i}" for i in range(_DIM)]).agg(*[x.alias(m) for x, m in zip(sums, _MOMENTS, strict=True)]))
+    langs = save(_fits(cells, ["lang"]).toDF("l2", "n2", "mu2", "cov2"))
+    total = langs.agg(F.coalesce(F.sum("n2"), F.lit(0.0)).alias("n"), *[F.coalesce(F.sum(F.col("n2") * F.col("cov2")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(_PAIRS))]).first()
+    shared = np.array([total[f"s{k}"] for k in range(len(_PAIRS))]) / max(total["n"], 1.0)
+
+    def lean(batches):
+        """Pairs lean on their language, languages' covariances on the mean of all of them."""
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_groups(batch, held.value), pa.int32())], names=[*batch.schema.names, "grp"])
-
-    known = save(rows.mapInArrow(grouped, f"{schema}, grp int"))
-    free(rows)
-    v = [f"v{i}" for i in range(_DIM)]
-    good = known.where("not base_failed").select("grp", *v)
-    # the start: medians, and the floors and spreads as a diagonal covariance
-    start = good.groupBy("grp").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in v]).collect()
-    fits |= {"mu": np.zeros((n, _DIM)), "inverse": np.tile(np.diag(1 / _FLOOR), (n, 1, 1)), "size": np.zeros(n, np.int64)}
-    for r in start:
-        q = np.array([r[c] for c in v])
-        fits["mu"][r.grp] = q[:, 1]
-        fits["inverse"][r.grp] = np.diag(1 / (((q[:, 2] - q[:, 0]) / 1.349) ** 2 + _FLOOR))
-    fields = f"grp int, ring int, {', '.join(f'{m} double' for m in _MOMENTS)}"
-    for _ in range(STEPS):
-        held = spark.sparkContext.broadcast(fits)
-        rings = good.mapInArrow(partial(_moments, held), fields).groupBy("grp", "ring").agg(*[F.sum(m).alias(m) for m in _MOMENTS]).collect()  # 120 rows a group at most
-        new = fits | _fitted(rings, fits)
-        done = np.allclose(new["mu"], fits["mu"], atol=1e-4) and np.allclose(new["inverse"], fits["inverse"], rtol=1e-3)
-        fits = new
-        if done:
-            break
-    return known, fits
-
-
-def _groups(batch: pa.RecordBatch, fits: dict) -> np.ndarray:
-    lang, source = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "source"))
-    pairs, langs = fits["pairs"], fits["langs"]
-    return np.array([pairs.get((a, b)) or langs.get(a, 0) for a, b in zip(lang, source, strict=True)], np.int64)
-
-
-def _kept(v: np.ndarray, failed: np.ndarray, group: np.ndarray, fits: dict, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
-    far = _distances(v, group, fits)
-    return ~failed & ((far <= cutoff) | (fits["size"][group] < 20)), far
+            mus, inverses = [], []
+            for r in batch.select(["n", "mu", "cov", "n2", "mu2", "cov2"]).to_pylist():
+                lang = (r["n2"] * np.array(r["cov2"]) + SHRINK * shared) / (r["n2"] + SHRINK)
+                w = r["n"] / (r["n"] + SHRINK)
+                cov = _matrix(w * np.array(r["cov"]) + (1 - w) * lang) * (1 + 1 / r["n2"]) + np.diag(_FLOOR)
+                inverse = np.linalg.inv(cov)
+                mus.append(w * np.array(r["mu"]) + (1 - w) * np.array(r["mu2"]))
+                inverses.append([inverse[i, j] * (1 if i == j else 2) for i, j in _PAIRS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mus, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], names=["l", "s", "mu", "inverse"])
+
+    pairs = _fits(cells, ["lang", "source"])
+    fits = save(pairs.join(langs, pairs["lang"].eqNullSafe(langs["l2"])).mapInArrow(lean, "l string, s string, mu array<double>, inverse array<double>"))
+    free(cells), free(langs)
+    return rows, fits
 
 
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and the squared distance of every document."""
+    """doc_id, the base counts, base_failed, kept and the squared distance (null where all of a pair fail) of every document."""
     rows, fits = fit(docs)
-    held = docs.sparkSession.sparkContext.broadcast(fits)
-    first = ["doc_id", *COUNTS, "base_failed"]
-
-    def judge(batches):
-        for batch in batches:
-            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            v = np.stack([at[f"v{i}"].to_numpy() for i in range(_DIM)], 1)
-            kept, far = _kept(v, at["base_failed"].to_numpy(zero_copy_only=False), at["grp"].to_numpy().astype(np.int64), held.value, cutoff)
-            yield pa.RecordBatch.from_arrays([*(at[c] for c in first), pa.array(kept), pa.array(far)], names=[*first, "kept", "distance"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(judge, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, distance double")
+    at = rows.join(fits, rows["lang"].eqNullSafe(fits["l"]) & rows["source"].eqNullSafe(fits["s"]), "left")
+    d = [F.col(v) - F.col("mu")[i] for i, v in enumerate(_V)]
+    far = sum((d[i] * d[j] * F.col("inverse")[k] for k, (i, j) in enumerate(_PAIRS)), F.lit(0.0))
+    at = at.withColumn("distance", far)
+    return at.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"), "distance")
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of docs that are kept, judged row by row; no shuffle of texts."""
+    """The rows of docs that are kept, judged row by row; texts are shuffled only if the fits are too many to be sent."""
     rows, fits = fit(docs)
     free(rows)
-    held = docs.sparkSession.sparkContext.broadcast(fits)
+    own, width = docs.columns, len(docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(width)])
+    lang, source, text = (own.index(c) for c in ("lang", "source", "text"))
+    at = plain.join(fits, plain[f"c{lang}"].eqNullSafe(fits["l"]) & plain[f"c{source}"].eqNullSafe(fits["s"]))  # pairs without a fit have no good row
+    at = at.select(*plain.columns, "mu", "inverse")
 
     def judge(batches):
         for whole in batches:
-            for batch in T.pieces(whole, "text"):
-                c = counts(batch.column(batch.schema.get_field_index("text")))
-                kept, _ = _kept(vectors(c), _base_failed(c), _groups(batch, held.value), held.value, cutoff)
-                yield batch.filter(pa.array(kept))
-
-    return docs.mapInArrow(judge, docs.schema)
+            for batch in T.pieces(whole, f"c{text}"):
+                c = counts(batch.column(text))
+                mu, inverse = (np.array(batch.column(width + i).flatten()).reshape(len(batch), -1) for i in range(2))
+                d = vectors(c) - mu
+                far = sum(d[:, i] * d[:, j] * inverse[:, k] for k, (i, j) in enumerate(_PAIRS))
+                yield batch.filter(pa.array(~_base_failed(c) & (far <= cutoff))).select(list(range(width)))
+
+    return at.mapInArrow(judge, plain.schema).toDF(*own)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,23 +218,76 @@ def test_quality_rejects_outliers_and_keeps_prose(spark):
     assert all(got[i] == (i % 10 != 0) for i in got)
 
 
+def cells_of(v):
+    """One cell a vector."""
+    return np.concatenate([np.ones((len(v), 1)), v, np.stack([v[:, i] * v[:, j] for i, j in quality._PAIRS], 1)], 1)
+
+
+def test_mcd_is_the_smallest_determinant():
+    """Small sets against all subsets: no subset of the covered share has a smaller determinant."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    floor = np.full(4, 1e-3)
+    for _ in range(6):
+        v = np.concatenate([rng.normal(0, 1, (6, 4)), rng.normal(5, 0.3, (4, 4))])[rng.permutation(10)]
+        mu, cov = quality.mcd(cells_of(v), floor, 0.6, starts=200)
+        dets = []
+        for some in combinations(range(10), 6):
+            x = v[list(some)]
+            dets.append(np.linalg.slogdet(np.cov(x.T, bias=True) + np.diag(floor))[1])
+        assert np.linalg.slogdet(cov + np.diag(floor))[1] == pytest.approx(min(dets), abs=0.05)
+
+
 def test_mcd_resists_a_third_of_outliers():
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.normal(0, 1, (700, 4)), rng.normal(40, 1, (300, 4))])
+    mu, cov = quality.mcd(cells_of(v))
+    d = v - mu
+    far = np.einsum("ni,ij,nj->n", d, np.linalg.inv(quality.CONSISTENCY * cov), d)
+    assert np.abs(mu).max() < 0.2 and far[700:].min() > quality.CUTOFF > np.quantile(far[:700], 0.995)
+    assert quality.CUTOFF == pytest.approx(28.47, abs=0.01) and quality.CONSISTENCY == pytest.approx(1.821, abs=0.001)
+
+
+def test_every_pair_has_its_fit(spark):
+    """Many small pairs and languages: clean rows of a rare language stay, whatever the languages around it."""
+    rng = random.Random(2)
+    rows, n = [], 0
+    for k in range(60):
+        low = 2 + k % 9  # word lengths differ by language
+        pool = ["".join(rng.choices("abcdefghij", k=rng.randint(low, low + 4))) for _ in range(400)]
+        for s in range(2):
+            for i in range(1 if k < 20 else 9):
+                words = [rng.choice(pool) for _ in range(rng.randint(60, 200))]
+                if i == 8:
+                    words = [w + "$#|*" for w in words]
+                rows.append((n, " ".join(words), f"l{k}", f"s{k}-{s}", i, None, None))
+                n += 1
+    got = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[r[0]] for r in rows] == [r[4] != 8 for r in rows]
 
-    class Held:
-        pass
-
-    import pyarrow as pa
 
-    fits = {"mu": np.median(v, 0)[None], "inverse": np.eye(4)[None] / 100, "size": np.zeros(1, int)}
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(1000, np.int32)), *(pa.array(v[:, i]) for i in range(4))], names=["grp", "v0", "v1", "v2", "v3"])
-    for _ in range(quality.STEPS):
-        Held.value = fits
-        out = next(iter(quality._moments(Held, iter([batch]))))
-        fits = quality._fitted([dict(zip(out.schema.names, r, strict=True)) for r in zip(*[c.to_pylist() for c in out.columns], strict=True)], fits)
-    far = quality._distances(v, np.zeros(1000, int), fits)
-    assert far[700:].min() > 10 * far[:700].max() or far[700:].min() > quality.CUTOFF > np.quantile(far[:700], 0.99)
+def test_verdicts_by_brute_force(docs, rows):
+    """The distance of every row, from the fits by numpy alone."""
+    _, fits = quality.fit(docs)
+    held = {(r.l, r.s): (np.array(r.mu), np.array(r.inverse)) for r in fits.collect()}
+    text = defaultdict(list)
+    for r in rows:
+        n, chars, sym, dup, rep, failed = brute_quality(r[1])
+        m = max(n, 1)
+        v = np.array([np.log(max(chars, 1) / m), (sym / m) ** 0.5, (dup / m) ** 0.5, (rep / m) ** 0.5])
+        if failed:
+            text[r[0]].append(False)
+        else:
+            mu, inverse = held[r[2], r[3]]
+            full = np.zeros((4, 4))
+            for k, (i, j) in enumerate(quality._PAIRS):
+                full[i, j] = inverse[k]
+            text[r[0]].append(bool((v - mu) @ full @ (v - mu) <= quality.CUTOFF))
+    got = defaultdict(list)
+    for r in quality.verdicts(docs).collect():
+        got[r.doc_id].append(r.kept)
+    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in text.items()}
 
 
 def test_mixing(docs, rows, empty):
