@@ -1,6 +1,7 @@
 """Language identification, HTML extraction and license scans."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -180,22 +181,46 @@ def test_more_than_256_languages(spark):
 
 
 def brute_matches(text):
-    import re
-
     clean = re.sub("[^a-z0-9\n]+", " ", (text or "").translate(str.maketrans(S._UPPER, S._LOWER)))
     tidy = lambda x: re.sub("[ \n]+", " ", x).strip(" ")
     units = {tidy(clean), *map(tidy, re.split("\n *\n", clean)), *(x.strip(" ") for x in clean.split("\n"))}
     out = []
-    for unit in units:
-        words = unit.split(" ")
-        u = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-        for name, template in S.TEMPLATES.items():
-            t = S.bigrams(template)
+    lines = [re.sub("[^a-z0-9]+", " ", x).split() for x in re.sub("([.!?]) ", r"\1\n", (text or "").translate(str.maketrans(S._UPPER, S._LOWER))).split("\n")]
+    lines = [x for x in lines if x]
+    flat, starts = [w for x in lines for w in x], np.cumsum([0, *map(len, lines)])[:-1].tolist()
+    for name, template in S.TEMPLATES.items():
+        t, width = S.bigrams(template), len(S.normal(template).split())
+        for words in [x.split(" ") for x in units] + [flat[i : i + width] for i in starts]:
+            u = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
             if u and 2 * len(u & t) / (len(u) + len(t)) >= S.THRESHOLD:
                 out.append((name, 2 * len(u & t) / (len(u) + len(t))))
     return sorted(out)
 
 
+def test_licenses_inside_texts(spark):
+    """Notices wrapped over lines and paragraphs inside longer documents, and sentences inside prose."""
+    import textwrap
+
+    prose, texts, names = "here are some other words of a document about something else", [], []
+    for name, t in S.TEMPLATES.items():
+        t = " ".join(t.split())
+        for form in (t, textwrap.fill(t, 40), re.sub(r"([.:]) (?=[A-Z])", r"\1\n\n", t)):
+            texts.append(f"{prose}\n{prose}. More of it.\n\n{form}\n\n{prose}. " * 1 + f"\n{prose}" * 50)
+            names.append(name)
+        texts.append(f"{prose}. {t} {prose}.")
+        names.append(name)
+    got = {}
+    for r in S.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert [n for i, n in enumerate(names) if n not in got.get(i, set())] == []
+    assert S.matches(spark.createDataFrame([(1, prose * 30)], "doc_id long, text string")).collect() == []
+
+
+def test_templates_from_a_folder(tmp_path):
+    (tmp_path / "Own").write_text("Anybody may use these few words for whatever they like to do.")
+    assert S.templates_from(str(tmp_path)) == {"Own": "Anybody may use these few words for whatever they like to do."}
+
+
 def test_licenses(spark):
     rng = random.Random(3)
     texts = [*S.TEMPLATES.values(), None, "", "license", "word " * 5000]
