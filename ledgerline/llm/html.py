@@ -8,8 +8,11 @@ from the root down; a text block whose marginal for content is over one half is
 Both potentials are trained from labelled pages. The default ones are written by a seeded generator that lays out
 articles among menus, headers, footers, sidebars, notices, adverts, forms and reader comments in many ways.
 
+What a page shows is never dropped unseen: but for scripts, styles, comments, frames and the head, all elements, formulas and
+fallback texts among them, are nodes or parts of texts that the model judges. Reading takes time linear in the page.
+
 Defined results: null and empty html give an empty text; what cannot be read as markup is text; an unclosed
-script, style or comment runs to the end of the page; null page ids and urls are kept; repeated rows get
+script, style or comment runs to the end of the page, of other unclosed elements only the tag is skipped; null page ids and urls are kept; repeated rows get
 equal results; an empty table gives an empty result; extra columns are ignored. Whole pages are read.
 """
 
@@ -27,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names of elements by what they do.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr picture source".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr picture source math mi mn mo ms mtext mrow msup msub mfrac msqrt semantics annotation svg g tspan noscript object canvas audio video map area ruby rt rp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template svg iframe object head title canvas audio video math select option datalist textarea map".split())
+RAW = frozenset("script style iframe title head".split())
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt tr td th tbody thead".split())
 SAME_ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ()}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KINDS = ("article", "main", "section", "div", "p", "h", "list", "item", "nav", "header", "footer", "aside", "form", "button", "table", "quote", "pre", "figure", "address", "dialog", "text", "other")
-_KIND = {"article": "article", "main": "main", "section": "section", "div": "div", "p": "p", "ul": "list", "ol": "list", "dl": "list", "menu": "nav", "li": "item", "dt": "item", "dd": "item", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "label": "form", "legend": "form", "input": "form", "button": "button", "table": "table", "tbody": "table", "thead": "table", "tr": "table", "td": "table", "th": "table", "caption": "table", "blockquote": "quote", "pre": "pre", "figure": "figure", "figcaption": "figure", "address": "address", "dialog": "dialog", "#text": "text", **{f"h{i}": "h" for i in range(1, 7)}}
+_KIND = {"article": "article", "main": "main", "section": "section", "div": "div", "p": "p", "ul": "list", "ol": "list", "dl": "list", "menu": "nav", "li": "item", "dt": "item", "dd": "item", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "label": "form", "select": "form", "option": "form", "optgroup": "form", "datalist": "form", "textarea": "form", "legend": "form", "input": "form", "button": "button", "table": "table", "tbody": "table", "thead": "table", "tr": "table", "td": "table", "th": "table", "caption": "table", "blockquote": "quote", "pre": "pre", "figure": "figure", "figcaption": "figure", "address": "address", "dialog": "dialog", "#text": "text", **{f"h{i}": "h" for i in range(1, 7)}}
 #: Words of classes, ids and roles, by what they tell of.
 WORDS = {
     "menu": "nav navigation navbar menu menubar breadcrumb breadcrumbs topbar toolbar pagination pager tabs skip".split(),
@@ -51,15 +54,18 @@ WORDS = {
 _WORD_KIND = {w: i for i, words in enumerate(WORDS.values()) for w in words}
 
 _TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[^>]*+)>", re.S)
+_PLAIN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S)
+_LIKE_TAG = re.compile(r"</?[a-zA-Z!?]")
 _ATTR = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "text", "size", "linked", "index")
+    __slots__ = ("tag", "attrs", "kinds", "parent", "kids", "text", "size", "linked", "index")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+        self.kinds = _kinds_of(attrs)
         self.text, self.size, self.linked, self.index = "", 0, 0, 0
 
 
@@ -70,11 +76,44 @@ def _kinds_of(attrs: str) -> list[int]:
     return sorted({_WORD_KIND[w] for value in found for w in map(str.lower, _SPLIT.findall(value)) if w in _WORD_KIND})
 
 
+class _Open:
+    """The open elements. What is open of each tag is known by its place, so that no search climbs the tree."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    @property
+    def here(self) -> Node:
+        return self.stack[-1]
+
+    def add(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags; 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        """Closes the element at a place, and all in it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+
+_P_STAYS = ("article", "section", "div", "td", "li", "body")
+_LISTS = ("table", "ul", "ol")
+
+
 def read(page: str) -> Node:
-    """The tree of a page: elements that make blocks, and a #text leaf for each run of text between them."""
+    """The tree of a page: elements that make blocks, and a #text leaf for each run of text between them.
+
+    Every character is looked at a bounded number of times: a tag that does not end by its quotes is cut at the next ">",
+    as are all that follow it, and an end tag without its element, or a missing one, costs no search.
+    """
     root = Node("#root", "", None)
-    here, run, links, linked, stack = root, [], 0, 0, []  # stack: open inline elements
-    at, n = 0, len(page)
+    opened = _Open(root)
+    run, links, linked = [], 0, 0
+    at, n, last_end, tags, missing = 0, len(page), page.rfind(">"), _TAG, set()
 
     def end_run():
         nonlocal linked
@@ -83,68 +122,70 @@ def read(page: str) -> Node:
             run.clear()
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                leaf = Node("#text", "", here)
+                leaf = Node("#text", "", opened.here)
                 leaf.text, leaf.size = text, len(text)
                 leaf.linked = min(linked, len(text))
-                here.kids.append(leaf)
+                opened.here.kids.append(leaf)
         linked = 0
 
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            run.append(page[at:])
-            linked += (n - at) if links else 0
+        spot = page.find("<", at)
+        m = None
+        while spot >= 0:
+            m = tags.match(page, spot) if spot < last_end or page.startswith("<!--", spot) else None
+            if m is None and tags is _TAG and spot < last_end and _LIKE_TAG.match(page, spot):
+                tags = _PLAIN
+                m = tags.match(page, spot)
+            if m is not None or spot > last_end and "<!--" not in page[spot : spot + 4]:
+                break
+            spot = page.find("<", spot + 1)
+        if m is None:
+            spot = page.find("<!--", max(at, spot)) if spot >= 0 else -1
+            m = tags.match(page, spot) if spot >= 0 else None
+        upto = m.start() if m is not None else n
+        if upto > at:
+            run.append(page[at:upto])
+            linked += (upto - at) if links else 0
+        if m is None:
             break
-        if m.start() > at:
-            run.append(page[at : m.start()])
-            linked += (m.start() - at) if links else 0
         at = m.end()
         if m[2] is None:
             continue  # a comment or a declaration
         tag, close = m[2].lower(), m[1]
-        if tag in DROPPED and not close:
-            if m[3].endswith("/"):
-                continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag in ("head", "title", "select", "option", "map", "object", "noscript") and not end:
-                continue
-            at = end.end() if end else n
+        if tag in RAW and not close:
+            end = None if tag in missing else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end is None:
+                missing.add(tag)
+                at = n if tag in ("script", "style") else at
+            else:
+                at = end.end()
             run.append(" ")
             continue
-        if tag in INLINE and not (not close and _kinds_of(m[3])):
+        kinds = _kinds_of(m[3]) if m[3] and not close else []
+        if tag in INLINE and not kinds:
             if tag == "a":
                 links = max(0, links + (-1 if close else 1))
-            if tag in ("br", "img", "wbr") and tag != "wbr":
+            if tag in ("br", "img"):
                 run.append(" ")
-            if close and here.tag == tag:  # an inline element with a telling class was made a block
+            if close and opened.here.tag == tag:  # an inline element with a telling class was made a block
                 end_run()
-                here = here.parent or root
+                opened.close(len(opened.stack) - 1)
             continue
         end_run()
         if close:
-            node = here
-            while node is not None and node.tag != tag and not (tag in HEADINGS and node.tag in HEADINGS):
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            place = opened.last(HEADINGS if tag in HEADINGS else (tag,))
+            if place:
+                opened.close(place)
                 links = 0
             continue
-        if tag in ENDS_P:
-            node = here
-            while node is not None and node.tag not in ("p", "#root", "article", "section", "div", "td", "li", "body"):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                here = node.parent
-        if tag in SAME_ENDS and tag != "p":
-            node = here
-            while node is not None and node.tag != tag and node.tag not in SAME_ENDS[tag] and node.tag not in ("#root", "table", "ul", "ol"):
-                node = node.parent
-            if node is not None and node.tag == tag:
-                here = node.parent
-        new = Node(tag, m[3], here)
-        here.kids.append(new)
+        if tag in ENDS_P and opened.last(("p",)) > opened.last(_P_STAYS):
+            opened.close(opened.last(("p",)))
+        if tag in SAME_ENDS and tag != "p" and opened.last((tag,)) > opened.last((*SAME_ENDS[tag], *_LISTS)):
+            opened.close(opened.last((tag,)))
+        new = Node(tag, m[3], opened.here)
+        opened.here.kids.append(new)
         if tag not in VOID and not m[3].endswith("/"):
-            here = new
+            opened.add(new)
         links = links if tag in INLINE else 0
     end_run()
     return root
@@ -174,7 +215,7 @@ def _features(node: Node, total: int) -> tuple[list[int], list[float]]:
     """Indices and values of a node's features; total is the length of the page's text."""
     at = [0, _KIND_AT[_KIND.get(node.tag, "other")]]
     value = [1.0, 1.0]
-    for k in _kinds_of(node.attrs):
+    for k in node.kinds:
         at.append(1 + len(KINDS) + k)
         value.append(1.0)
     base = 1 + len(KINDS) + len(WORDS)
@@ -189,7 +230,7 @@ def _pair_kind(node: Node) -> int:
     """Which pair potential binds a node to its parent: 0 for texts, 1 for elements with a telling name, 2 for others."""
     if node.tag == "#text":
         return 0
-    return 1 if _kinds_of(node.attrs) or node.tag in ("nav", "header", "footer", "aside", "form", "dialog", "article", "main", "button") else 2
+    return 1 if node.kinds or node.tag in ("nav", "header", "footer", "aside", "form", "dialog", "article", "main", "button") else 2
 
 
 def marginals(nodes: list[Node], model: dict) -> list[float]:
