@@ -4,10 +4,13 @@
    sketch of fixed size. 2. A set's n-grams are ordered rarest first (by the sketch; any one order keeps the
    result whole). Two sets that reach the threshold share an n-gram among their first
    |A| - ceil(t|A|) + 1, so only those are shuffled; sets that meet there, with sizes near enough, are
-   joined to partitions of similar documents. 3. A partition is dealt into blocks of bounded size, and each
+   joined to partitions of similar documents. 3. What a sketch of fixed size cannot tell apart grows with the corpus, so
+   members of partitions of more than one block go through a second filter of the same kind, ordered by exact
+   counts among them (n-grams are shuffled to be counted, and back): a set with too many n-grams of its own leaves, and
+   the others are joined anew. 4. A partition is dealt into blocks of bounded size, and each
    pair of blocks goes to one task. There, rows of a token-group matrix hold the token union of a few members each; a query's
    overlap with a union bounds its overlap with every member, and only groups whose bound reaches the
-   threshold are opened and compared exactly. 4. Verified links leave as spanning forests and link counts;
+   threshold are opened and compared exactly. 5. Verified links leave as spanning forests and link counts;
    components are found over the classes.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is its own
@@ -29,6 +32,9 @@ from .scratch import components, forest, free, fresh, id_filter, in_filter, part
 
 _MEMBERS, _TOKENS, _GROUP, _RUN = 96, 1_000_000, 16, 64
 _HELD = 500_000
+_TASK = 4_000_000  # n-grams of the corpus for each task that meets postings
+_HOT = 0xFFFFFFFF  # the rank of a class that stands for others of a common n-gram
+_POSTED = "target int, grams binary, cids binary, sizes binary, ranks binary"
 SKETCH_BITS = 19  # 2 MB to the driver and to every task, whatever the input
 _BLOCK = 1 << 12
 
@@ -109,26 +115,53 @@ def _needed(sizes: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * sizes // 100)
 
 
-def _postings(n: int, percent: int, targets: int, counts):
+def _thinned(gram: np.ndarray, size: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of postings in order of n-gram and size: which go on, their ranks, and edges that join the others to them.
+
+    Where one n-gram is shared by more than _RUN classes of a task, only a chain of them goes on, with sizes so near each
+    other that any class which fits one of the others fits a link of the chain: no task receives a hot n-gram's classes.
+    """
+    head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    length = np.diff(np.r_[head, len(gram)])
+    keep, edges = np.ones(len(gram), bool), []
+    rank = rank.copy()
+    for a, n in zip(head[length > _RUN].tolist(), length[length > _RUN].tolist(), strict=True):
+        s = size[a : a + n]
+        keep[a : a + n] = False
+        i = 0
+        while i < n:
+            keep[a + i] = True
+            upto = int(np.searchsorted(s, 100 * s[i] // percent, "right")) - 1  # the last that is near enough to i
+            edges.append(np.stack([np.full(upto - i, a + i), np.arange(a + i + 1, a + upto + 1)]))
+            i = upto if upto > i else i + 1
+        rank[a : a + n] = _HOT
+    return keep, rank, np.concatenate(edges, 1) if edges else np.zeros((2, 0), np.int64)
+
+
+def _packed(gram: np.ndarray, cid: np.ndarray, size: np.ndarray, rank: np.ndarray, targets: int, percent: int) -> pa.RecordBatch:
+    """Postings packed by target; edges between a common n-gram's classes go as rows without sizes."""
+    order = np.lexsort((cid, size, gram))
+    gram, cid, size, rank = gram[order], cid[order], size[order], rank[order]
+    keep = np.r_[True, (gram[1:] != gram[:-1]) | (cid[1:] != cid[:-1])]
+    gram, cid, size, rank = gram[keep], cid[keep], size[keep], rank[keep]
+    keep, rank, edges = _thinned(gram, size, rank, percent)
+    a, b = forest(*cid[edges])
+    gram, cid, size, rank = gram[keep], cid[keep], size[keep], rank[keep]
+    target = (((gram >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(target)) + 1), len(target)]
+    spans = list(zip(cuts, cuts[1:], strict=False)) if len(target) else []
+    rows = [(int(target[i]), T.pack_sorted(gram[i:j]), T.pack(cid[i:j]), T.pack(size[i:j].astype(np.uint32)), T.pack(rank[i:j].astype(np.uint32))) for i, j in spans]
+    if len(a):
+        rows.append((int(target[0]), T.pack(a), T.pack(b), None, None))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=[x.split()[0] for x in _POSTED.split(", ")])
+
+
+def _first_grams(n: int, percent: int, targets: int, counts):
     """The first n-grams of each class of a task, packed by target."""
 
     def run(batches):
         rare = counts.value
         held: list[tuple[np.ndarray, ...]] = []
-
-        def flush():
-            gram, cid, size, rank = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((cid, gram))
-            gram, cid, size, rank = gram[order], cid[order], size[order], rank[order]
-            keep = np.r_[True, (gram[1:] != gram[:-1]) | (cid[1:] != cid[:-1])]
-            gram, cid, size, rank = gram[keep], cid[keep], size[keep], rank[keep]
-            target = (((gram >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32)).astype(np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(target)) + 1), len(target)]
-            spans = list(zip(cuts, cuts[1:], strict=False))
-            packed = [pa.array([f(x[a:b]) for a, b in spans], pa.binary()) for f, x in ((T.pack_sorted, gram), (T.pack, cid), (T.pack, size.astype(np.uint32)), (T.pack, rank.astype(np.uint32)))]
-            return pa.RecordBatch.from_arrays([pa.array([target[a] for a, _ in spans], pa.int32()), *packed], names=["target", "grams", "cids", "sizes", "ranks"])
-
         total = 0
         for whole in batches:
             for batch in T.pieces(whole, "text"):
@@ -148,14 +181,93 @@ def _postings(n: int, percent: int, targets: int, counts):
                 held.append((grams, cid[row], sizes[row], rank))
                 total += len(row)
                 if total >= _HELD:
-                    yield flush()
+                    yield _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), targets, percent)
+                    held.clear()
                     total = 0
         if held:
+            yield _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), targets, percent)
+
+    return run
+
+
+def _all_grams(n: int, targets: int):
+    """All n-grams of the rows' classes (cid, text), packed by target."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush():
+            gram, cid, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(gram, kind="stable")
+            gram, cid, size = gram[order], cid[order], size[order]
+            target = (((gram >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(target)) + 1), len(target)]
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            packed = [pa.array([f(x[i:j]) for i, j in spans], pa.binary()) for f, x in ((T.pack_sorted, gram), (T.pack, cid), (T.pack, size.astype(np.uint32)))]
+            return pa.RecordBatch.from_arrays([pa.array([target[i] for i, _ in spans], pa.int32()), *packed], names=["target", "grams", "cids", "sizes"])
+
+        total = 0
+        for whole in batches:
+            for batch in T.pieces(whole, "text"):
+                row, grams, sizes = ngram_sets(batch.column(1), n)
+                right = _class_ids(grams, sizes) == batch.column(0).to_numpy()  # a doc_id can have several texts
+                row, grams = row[right[row]], grams[right[row]]
+                held.append((grams, batch.column(0).to_numpy()[row], sizes[row]))
+                total += len(row)
+                if total >= _HELD:
+                    yield flush()
+                    total = 0
+        if total:
             yield flush()
 
     return run
 
 
+def _count(targets: int):
+    """How many classes hold each n-gram; those in two or more go back to their classes with that number."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gram = np.concatenate([T.unpack_sorted(x.as_py()) for x in table.column("grams")])
+        cid, size = (np.concatenate([T.unpack(x.as_py(), kind) for x in table.column(name)]) for name, kind in (("cids", np.int64), ("sizes", np.uint32)))
+        order = np.lexsort((cid, gram))
+        gram, cid, size = gram[order], cid[order], size[order]
+        once = np.r_[True, (gram[1:] != gram[:-1]) | (cid[1:] != cid[:-1])]
+        gram, cid, size = gram[once], cid[once], size[once]
+        head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        many = np.repeat(np.diff(np.r_[head, len(gram)]), np.diff(np.r_[head, len(gram)]))
+        to = ((T.mix(cid.view(np.uint64)) >> np.uint64(32)) * np.uint64(targets) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((gram, to))
+        order = order[many[order] > 1]
+        gram, cid, size, many, to = gram[order], cid[order], size[order], many[order], to[order]
+        cuts = [0, *(np.flatnonzero(np.diff(to)) + 1), len(to)] if len(to) else []
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        packed = [pa.array([f(x[i:j]) for i, j in spans], pa.binary()) for f, x in ((T.pack_sorted, gram), (T.pack, cid), (T.pack, size), (T.pack, many.astype(np.uint32)))]
+        return pa.table([pa.array([to[i] for i, _ in spans], pa.int32()), *packed], names=["target", "grams", "cids", "sizes", "ranks"])
+
+    return run
+
+
+def _first_again(percent: int, targets: int):
+    """The first n-grams of each class in the order of exact counts; n-grams that nothing else holds come first of all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gram = np.concatenate([T.unpack_sorted(x.as_py()) for x in table.column("grams")])
+        cid, size, many = (np.concatenate([T.unpack(x.as_py(), kind) for x in table.column(name)]) for name, kind in (("cids", np.int64), ("sizes", np.uint32), ("ranks", np.uint32)))
+        size = size.astype(np.int64)
+        order = np.lexsort((gram, many, cid))
+        gram, cid, size = gram[order], cid[order], size[order]
+        head = np.flatnonzero(np.r_[True, cid[1:] != cid[:-1]])
+        held = np.diff(np.r_[head, len(cid)])
+        rank = T.ranges(held) + np.repeat(size[head] - held, held)
+        first = rank < size - _needed(size, percent) + 1
+        if not first.any():
+            return pa.table({name: pa.array([], pa.int32() if name == "target" else pa.binary()) for name in ("target", "grams", "cids", "sizes", "ranks")})
+        return pa.Table.from_batches([_packed(gram[first], cid[first], size[first], rank[first], targets, percent)])
+
+    return run
+
+
 def _meet(percent: int):
     """Classes that share a first n-gram and may reach the threshold, as stars.
 
@@ -164,6 +276,12 @@ def _meet(percent: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
+        joined = table.filter(table.column("sizes").is_null())
+        table = table.filter(table.column("sizes").is_valid())
+        left, right = ([T.unpack(x.as_py(), np.int64) for x in joined.column(c)] for c in ("grams", "cids"))
+        if not len(table):
+            a, b = forest(np.concatenate(left), np.concatenate(right))
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
         gram = np.concatenate([T.unpack_sorted(x.as_py()) for x in table.column("grams")])
         cid, size, rank = (np.concatenate([T.unpack(x.as_py(), kind) for x in table.column(name)]) for name, kind in (("cids", np.int64), ("sizes", np.uint32), ("ranks", np.uint32)))
         size, rank = size.astype(np.int64), rank.astype(np.int64)
@@ -175,17 +293,19 @@ def _meet(percent: int):
         lead = np.maximum.accumulate(np.where(near, 0, np.arange(len(gram))))
         length = np.bincount(lead, minlength=len(lead))[lead]
         big = near & (length > _RUN)
-        left, right = [cid[lead[big]]], [cid[big]]
+        left.append(cid[lead[big]])
+        right.append(cid[big])
         some = np.flatnonzero((length > 1) & (length <= _RUN))
-        gram, cid, size, lead = gram[some], cid[some], size[some], lead[some]
-        rest = size - rank[some] - 1  # n-grams after the shared one
+        gram, cid, size, lead, rank = gram[some], cid[some], size[some], lead[some], rank[some]
+        hot = rank == _HOT
+        rest = size - rank - 1  # n-grams after the shared one
         for step in range(1, _RUN):
             pair = np.flatnonzero(lead[step:] == lead[:-step])
             if not len(pair):
                 break
             other = pair + step
             reach = 1 + np.minimum(rest[pair], rest[other])
-            ok = ((100 + percent) * reach >= percent * (size[pair] + size[other])) & (100 * size[pair] >= percent * size[other])
+            ok = (hot[pair] | hot[other] | ((100 + percent) * reach >= percent * (size[pair] + size[other]))) & (100 * size[pair] >= percent * size[other])
             left.append(cid[pair[ok]])
             right.append(cid[other[ok]])
         a, b = forest(np.concatenate(left), np.concatenate(right))
@@ -296,29 +416,48 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, by_row: b
     """
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    targets = 2 * parts(spark)
     survey = save(rows.mapInArrow(_survey(n), "block int, counts binary, doc_id long, n long, cid long"))
     counts = spark.sparkContext.broadcast(_sketch(survey))  # 4 * 2**SKETCH_BITS bytes
     every = survey.where("block is null").select("doc_id", "n", "cid")
     classes = save(every.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("mult")))
-    posted = rows.mapInArrow(_postings(n, percent, targets, counts), "target int, grams binary, cids binary, sizes binary, ranks binary")
+    grams = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    targets = max(2 * parts(spark), grams // _TASK)  # a task's postings do not grow with the corpus
+    posted = rows.mapInArrow(_first_grams(n, percent, targets, counts), _POSTED)
     groups = components(posted.groupBy("target").applyInArrow(_meet(percent), "a long, b long"))
 
-    # one row a class that met another: its partition, and its block in there
-    comp = save(groups.join(classes, groups["node"] == classes["cid"]).select("cid", F.col("root").alias("comp"), "rep", "n", "mult"))
-    size = save(comp.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / _MEMBERS), F.ceil(F.sum("n") / _TOKENS)).alias("blocks")).withColumnRenamed("comp", "c"))
-    dealt = comp.join(size, comp["comp"] == size["c"]).select("cid", "comp", "rep", "mult", "blocks", F.pmod(F.xxhash64("cid"), "blocks").alias("g"))
-    wanted = spark.sparkContext.broadcast(id_filter(comp.select("rep"), lambda batch: batch.column(0).to_numpy(zero_copy_only=False)))
+    def dealt_out(groups: DataFrame) -> DataFrame:
+        """A row a class that met another: its partition, and the number of blocks of that."""
+        comp = save(groups.join(classes, groups["node"] == classes["cid"]).select("cid", F.col("root").alias("comp"), "rep", "n", "mult"))
+        size = comp.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / _MEMBERS), F.ceil(F.sum("n") / _TOKENS)).alias("blocks")).withColumnRenamed("comp", "c")
+        out = save(comp.join(size, comp["comp"] == size["c"]).drop("c"))
+        free(comp)
+        return out
 
-    def some(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(in_filter(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
+    def texts_of(some: DataFrame) -> DataFrame:
+        """The rows whose doc_id is that of a class (rep), and others by chance."""
+        wanted = spark.sparkContext.broadcast(id_filter(some.select("rep"), lambda batch: batch.column(0).to_numpy(zero_copy_only=False)))
 
-    texts = rows.mapInArrow(some, "doc_id long, text string")
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(in_filter(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+        return rows.mapInArrow(run, "doc_id long, text string")
+
+    comp = dealt_out(groups)
+    large = comp.where("blocks > 1").select("cid", "rep")
+    if not large.isEmpty():
+        texts = texts_of(large)
+        again = texts.join(large, texts["doc_id"] == large["rep"]).select("cid", "text").mapInArrow(_all_grams(n, targets), "target int, grams binary, cids binary, sizes binary")
+        again = again.groupBy("target").applyInArrow(_count(targets), _POSTED).groupBy("target").applyInArrow(_first_again(percent, targets), _POSTED)
+        again = components(again.groupBy("target").applyInArrow(_meet(percent), "a long, b long"))
+        old, comp = comp, dealt_out(again.unionByName(comp.where("blocks = 1").select(F.col("cid").alias("node"), F.col("comp").alias("root"))))
+        free(old)
+    dealt = comp.select("cid", "comp", "rep", "mult", "blocks", F.pmod(F.xxhash64("cid"), "blocks").alias("g"))
+    texts = texts_of(comp)
     asked = texts.join(dealt, texts["doc_id"] == dealt["rep"])
     asked = asked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     asked = asked.select("comp", F.least("g", "other").alias("lo"), F.greatest("g", "other").alias("hi"), "g", "cid", "mult", "text")
-    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("comp", "lo", "hi"), F.lit(4 * targets)).cast("int"))
+    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("comp", "lo", "hi"), F.lit(4 * targets)).cast("int"))  # more of them, not larger ones, as the corpus grows
     found = save(asked.groupBy("bucket").applyInArrow(_open(n, percent), "a long, b long, links long"))
 
     roots = components(found.where("b is not null").select("a", "b"))
@@ -329,7 +468,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, by_row: b
     label = classes.join(of, classes["cid"] == of["of2"], "left").join(links, classes["cid"] == links["of"], "left")
     root = [F.coalesce("root", "cid").alias("root")] if by_row else []
     label = save(label.select(F.col("cid").alias("label_cid"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), *root))
-    for x in (comp, size, found, known, least):
+    for x in (comp, found, known, least):
         free(x)
     out = every.join(label, every["cid"] == label["label_cid"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), *(["cid", "root"] if by_row else []))

@@ -98,6 +98,51 @@ def test_jaccard_in_small_blocks(spark, rows, monkeypatch):
     assert got == brute_components(rows, 2, 50)
 
 
+def shared_sentences(count=300):
+    """Documents that share sentences, none of them alike."""
+    rng = random.Random(9)
+    pool = [[f"{rng.randrange(5000)}w" for _ in range(12)] for _ in range(count)]
+    return [(i, " ".join(w for s in rng.sample(pool, 9) for w in s)) for i in range(count)]
+
+
+def test_shared_sentences_make_no_large_partition(spark, monkeypatch):
+    """Exact counts part what a full sketch throws together."""
+    seen = []
+    monkeypatch.setattr(ngram, "SKETCH_BITS", 12)  # one block of cells
+    sketch = ngram._sketch
+    monkeypatch.setattr(ngram, "_sketch", lambda survey: np.zeros_like(sketch(survey)))  # tells nothing
+    found = ngram.components
+    monkeypatch.setattr(ngram, "components", lambda edges: seen.append(found(edges)) or seen[-1])
+    rows = shared_sentences()
+    base = rows[0][1].split()
+    rows += [(1000 + i, " ".join([*base[:-1], f"new{i}"])) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in ngram.jaccard_components(docs, 4, 85).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == brute_components(rows, 4, 85)
+    first, again, _ = [max((r["count"] for r in x.groupBy("root").count().collect()), default=0) for x in seen]
+    assert first > 2 * ngram._MEMBERS and again <= 4
+
+
+def test_hot_ngrams_are_thinned(spark, monkeypatch):
+    """A common n-gram of many classes: only a chain of them leaves a task, and no link is lost."""
+    monkeypatch.setattr(ngram, "_RUN", 3)
+    monkeypatch.setattr(ngram, "_MEMBERS", 8)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: rng.randint(8, 60)] + [f"u{rng.randrange(9)}" for _ in range(rng.randint(0, 4))])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in ngram.jaccard_components(docs, 2, 80).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == brute_components(rows, 2, 80)
+    gram, size = np.repeat(np.array([3, 5], np.uint64), [50, 2]), np.r_[np.sort(np.random.default_rng(1).integers(10, 90, 50)), 4, 9]
+    keep, rank, edges = ngram._thinned(gram, size, np.zeros(52, np.int64), 80)
+    kept = size[:50][keep[:50]]
+    assert keep[50:].all() and keep.sum() < 30 and (rank[:50] == ngram._HOT).all() and not rank[50:].any()
+    for s in range(8, 112):  # any class that fits one of the others fits a link of the chain
+        if any(min(s, x) * 100 >= 80 * max(s, x) for x in size[:50]):
+            assert any(min(s, x) * 100 >= 80 * max(s, x) for x in kept)
+    assert set(edges.ravel().tolist()) | set(np.flatnonzero(keep).tolist()) == set(range(52))
+
+
 def test_linked_equals_brute_force():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**60, 40, dtype=np.uint64)
