@@ -3,12 +3,17 @@
 A k-mer (run of k words) is an edge from its first k-1 words to its last k-1. Edges that occur in more
 than one document are found with one shuffle of their hashes; an edge's source is its first occurrence in
 the smallest doc_id. An occurrence in a larger doc_id is repeated. A document's repeated edges that follow
-each other, with sources that follow each other as well, form a nonbranching path and are compacted to one
-span with one source coordinate: within each task first, then over all tasks by a join on the document.
+each other, with sources that follow each other as well, form a path that does not branch from its source's, and are
+compacted to one span with one source coordinate: within each task first, then over all tasks by document.
+
+Spans are verified: the words at a span's own coordinates and at its source's are read from the texts (a Spark join of
+coordinates with documents) and compared by digest (a second join, of spans with their sources). A hash of another run
+of words can therefore remove nothing. K-mers of spans that fail are resolved by their words instead of hashes, again
+by joins; with 56 bits that is rare, and it costs one scan when it happens.
 
 Defined results: null and empty texts have no words; a text shorter than k words loses none; rows with one
 doc_id never remove each other's words; identical rows get identical results; an empty table gives an empty
-result; extra columns are ignored. Texts are never cut. k-mers are compared by 64-bit hashes.
+result; extra columns are ignored. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -24,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import text as T
-from .scratch import fresh, id_filter, in_filter, parts, save
+from .scratch import free, fresh, id_filter, in_filter, parts, save
 
 WINDOW = 13
+HASH_BITS = 56
 _HELD = 400_000
 _EDGES, _SPANS = 0, 1
 _SCHEMA = "target int, kind int, hashes binary, docs binary, tags binary, starts binary, lengths binary, sources binary, places binary"
@@ -83,7 +89,12 @@ def _text_tags(words: np.ndarray, first: np.ndarray, ids: np.ndarray, twice: byt
     return np.where(in_filter(twice, ids), tags, np.uint32(0))
 
 
-def _edges(k: int, lots: int, targets: int, twice):
+def _hashes(words: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """Hashes of all runs of k words, of which the highest bits count."""
+    return T.window_hashes(words, k) & ~np.uint64((1 << (64 - bits)) - 1)
+
+
+def _edges(k: int, bits: int, lots: int, targets: int, twice):
     """Map side: the k-mers of a task's documents; of each, those of its smallest document go on, others are repeated."""
 
     def run(batches):
@@ -119,7 +130,7 @@ def _edges(k: int, lots: int, targets: int, twice):
                     continue
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 tags = _text_tags(words, first, ids, twice.value)
-                held.append((T.window_hashes(words, k)[at], ids[row], tags[row], (at - first[row]).astype(np.int32)))
+                held.append((_hashes(words, k, bits)[at], ids[row], tags[row], (at - first[row]).astype(np.int32)))
                 count += len(at)
                 if count >= _HELD:
                     yield flush()
@@ -166,18 +177,57 @@ def _reduce(ratio: int, targets: int):
     return run
 
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+_SPAN = "target int, doc long, tag long, start long, length long, source long, place long"
+_TOLD = f"{_SPAN}, digest binary"
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    """A document's packed spans, compacted over all tasks, a row each."""
     kinds = {"docs": np.int64, "tags": np.uint32, "starts": np.int64, "lengths": np.int64, "sources": np.int64, "places": np.int64}
     got = [np.concatenate([T.unpack(x.as_py(), kind) for x in table.column(name)] or [np.zeros(0, kind)]) for name, kind in kinds.items()]
     got[5] = got[5] + got[2]
-    return compact(*got)
+    spans = [x.astype(np.int64) for x in compact(*got)]
+    target = pa.array(np.full(len(spans[0]), table.column("target")[0].as_py()), pa.int32())
+    return pa.table([target, *spans], names=[x.split()[0] for x in _SPAN.split(", ")])
+
+
+def _digests_of(k: int, twice):
+    """For texts and the spans asked of them (doc_id, text, spans): each span that lies in the text, and its words' digest."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in T.pieces(whole, "text"):
+                data, offsets = T.string_buffers(batch.column(1))
+                starts, ends, first = T.word_spans(data, offsets)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                tags = _text_tags(T.word_hashes(data, starts, ends), first, ids, twice.value)
+                space = np.flatnonzero(np.isin(data, [9, 10, 11, 12, 13]))
+                data = data.copy()
+                data[space] = 32
+                raw, rows = data.tobytes(), []
+                for i, asked in enumerate(batch.column(2).to_pylist()):
+                    for x in asked:
+                        low, high = x["start"], x["start"] + x["length"] + k - 1
+                        if x["tag"] in (_ANY, tags[i]) and high <= first[i + 1] - first[i]:
+                            body = raw[starts[first[i] + low] : ends[first[i] + high - 1]]
+                            if b"  " in body:
+                                body = b" ".join(body.split())
+                            rows.append({"doc": ids[i], **x, "digest": hashlib.blake2b(body, digest_size=16).digest()})
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in _TOLD.split(", ")]))
+
+    return run
+
+
+_ANY = -1  # the tag of a source's coordinates: they hold for whichever text of the doc_id has the words
 
 
 def _cover(k: int, twice, emit):
     """Last join: a document's spans, compacted over all tasks, and its text; emit(..., kept) gets a mask of words to keep, or None for all."""
 
     def run(_key, documents: pa.Table, found: pa.Table) -> pa.Table:
-        doc, tag, start, length, source, place = _unpacked(found)
+        doc, tag, start, length = (found.column(c).to_numpy() for c in ("doc", "tag", "start", "length"))
+        order = np.argsort(doc, kind="stable")
+        doc, tag, start, length = doc[order], tag[order], start[order], length[order]
         out = []
         for batch in documents.combine_chunks().to_batches():
             for piece in T.pieces(batch, "text"):
@@ -234,17 +284,97 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
 
 
-def _found(docs: DataFrame, k: int) -> tuple[DataFrame, int, Broadcast, Broadcast]:
+def _ids_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False)
+
+
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) of the given ids (one column), and others by chance."""
+    held = rows.sparkSession.sparkContext.broadcast(id_filter(ids, _ids_of))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(held.value, _ids_of(batch))))
+
+    return rows.mapInArrow(run, "doc_id long, text string")
+
+
+def _verified(rows: DataFrame, spans: DataFrame, k: int, twice: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """Spans whose words are those of their source, and the others."""
+    asked = F.struct("target", "tag", "start", "length", "source", "place").alias("span")
+    none = F.lit(None).cast("long")
+    sources = spans.select(F.col("source").alias("doc"), F.lit(None).cast("int").alias("target"), F.lit(_ANY).cast("long").alias("tag"), F.col("place").alias("start"), "length", none.alias("source"), none.alias("place")).distinct()
+    asked = spans.select("doc", asked).union(sources.select("doc", asked)).groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    texts = _texts(rows, spans.select("doc").union(spans.select("source")).distinct())
+    told = texts.join(asked, texts["doc_id"] == asked["doc"]).select("doc_id", "text", "spans").mapInArrow(_digests_of(k, twice), _TOLD)
+    told = save(told)
+    own, source = told.where(F.col("tag") != _ANY), told.where(F.col("tag") == _ANY).select(F.col("doc").alias("d"), F.col("start").alias("s"), F.col("length").alias("n"), F.col("digest").alias("x"))
+    same = (own["source"] == source["d"]) & (own["place"] == source["s"]) & (own["length"] == source["n"]) & (own["digest"] == source["x"])
+    return own.join(source, same, "left_semi").drop("digest"), own.join(source, same, "left_anti").drop("digest")
+
+
+def _by_words(rows: DataFrame, failed: DataFrame, k: int, bits: int, targets: int, twice: Broadcast) -> DataFrame:
+    """Spans of one edge each for all k-mers with a hash of a failed span, resolved by their words."""
+
+    def words_of(batch):
+        data, offsets = T.string_buffers(batch.column(1))
+        starts, ends, first = T.word_spans(data, offsets)
+        return data, starts, ends, first, T.word_hashes(data, starts, ends)
+
+    def doubtful(batches):
+        for whole in batches:
+            for batch in T.pieces(whole, "text"):
+                _, _, _, first, words = words_of(batch)
+                hashes = _hashes(words, k, bits)
+                ids = _ids_of(batch)
+                tags = _text_tags(words, first, ids, twice.value)
+                at = [np.arange(x["start"], x["start"] + x["length"]) + first[i] for i, asked in enumerate(batch.column(2).to_pylist()) for x in asked if x["tag"] == tags[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[np.concatenate(at)].view(np.int64) if at else np.zeros(0, np.int64))], names=["h"])
+
+    asked = failed.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "length")).alias("spans"))
+    texts = _texts(rows, failed.select("doc").distinct())
+    hashes = texts.join(asked, texts["doc_id"] == asked["doc"]).select("doc_id", "text", "spans").mapInArrow(doubtful, "h long").distinct()
+    held = rows.sparkSession.sparkContext.broadcast(id_filter(hashes, _ids_of))
+
+    def occurrences(batches):
+        for whole in batches:
+            for batch in T.pieces(whole, "text"):
+                data, starts, ends, first, words = words_of(batch)
+                at, row = T.windows_of_rows(first, k)
+                if not len(at):
+                    continue
+                some = in_filter(held.value, _hashes(words, k, bits)[at].view(np.int64))
+                at, row = at[some], row[some]
+                ids = _ids_of(batch)
+                tags = _text_tags(words, first, ids, twice.value)
+                raw = data.tobytes()
+                target = _targets(_doc_hash(ids), targets)
+                keys = [b" ".join(raw[starts[i] : ends[i + k - 1]].split()) for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(target[row].astype(np.int32)), pa.array(ids[row]), pa.array(tags[row].astype(np.int64)), pa.array(at - first[row])], names=["words", "target", "doc", "tag", "start"])
+
+    every = save(rows.mapInArrow(occurrences, "words binary, target int, doc long, tag long, start long"))
+    least = every.groupBy(F.col("words").alias("w")).agg(F.min("doc").alias("source"))
+    again = every.join(least, (every["words"] == least["w"]) & (every["doc"] > least["source"]))
+    return again.select("target", "doc", "tag", "start", F.lit(1).cast("long").alias("length"), "source", F.lit(None).cast("long").alias("place"))
+
+
+def _found(docs: DataFrame, k: int, bits: int) -> tuple[DataFrame, int, Broadcast, Broadcast]:
     """The spans, the number of targets, the filter of doc_ids that occur twice and that of documents with spans."""
     spark = docs.sparkSession
     targets = parts(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     more = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = spark.sparkContext.broadcast(id_filter(more, lambda batch: batch.column(0).to_numpy(zero_copy_only=False)))
-    edges = rows.mapInArrow(_edges(k, 3 * targets, targets, twice), _SCHEMA)
-    spans = save(edges.groupBy("target").applyInArrow(_reduce(3, targets), _OUT))
-    hit = id_filter(spans.select("docs"), lambda batch: np.concatenate([T.unpack(x.as_py(), np.int64) for x in batch.column(0)]))
-    return spans, targets, twice, spark.sparkContext.broadcast(hit)
+    twice = spark.sparkContext.broadcast(id_filter(more, _ids_of))
+    edges = rows.mapInArrow(_edges(k, bits, 3 * targets, targets, twice), _SCHEMA)
+    spans = edges.groupBy("target").applyInArrow(_reduce(3, targets), _OUT)
+    spans = save(spans.groupBy("target").applyInArrow(_unpacked, _SPAN))
+    good, failed = _verified(rows, spans, k, twice)
+    good, failed = save(good), save(failed)
+    if not failed.isEmpty():
+        good = save(good.union(_by_words(rows, failed, k, bits, targets, twice)))
+    free(failed), free(spans)
+    hit = id_filter(good.select("doc").distinct(), _ids_of)
+    return good, targets, twice, spark.sparkContext.broadcast(hit)
 
 
 def _split(docs: DataFrame, targets: int, hit: Broadcast) -> tuple[DataFrame, DataFrame, str]:
@@ -269,10 +399,10 @@ def _digests(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
 
 
-def repeated_words(docs: DataFrame, k: int = WINDOW) -> DataFrame:
+def repeated_words(docs: DataFrame, k: int = WINDOW, bits: int = HASH_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document; see the module's text."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found, targets, twice, hit = _found(docs, k)
+    found, targets, twice, hit = _found(docs, k, bits)
     some, rest, target = _split(docs, targets, hit)
     cover, names = _cover(k, twice, _digest_rows), ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
@@ -289,9 +419,9 @@ def repeated_words(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     return some.groupBy(target).cogroup(found.groupBy("target")).applyInArrow(run, schema).union(rest.mapInArrow(whole, schema))
 
 
-def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = WINDOW, bits: int = HASH_BITS) -> DataFrame:
     """docs, with the covered words cut from column text; all rows and all other columns stay."""
-    found, targets, twice, hit = _found(docs, k)
+    found, targets, twice, hit = _found(docs, k, bits)
     some, rest, target = _split(docs, targets, hit)
     cover = _cover(k, twice, lambda piece, *more: [(piece, list(_text_rows(piece, *more)))])
     at = docs.columns.index("text")

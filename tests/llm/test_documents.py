@@ -199,6 +199,13 @@ def test_substrings(docs, rows, held, monkeypatch):
     assert sum(r[2] for r in got) > 100
 
 
+@pytest.mark.parametrize("bits", [8, 16])
+def test_substrings_with_colliding_hashes(docs, rows, bits):
+    """Spans are verified by their words: hashes of few bits collide everywhere and change nothing."""
+    got = sorted(tuple(r) for r in substring.repeated_words(docs, bits=bits).collect())
+    assert got == brute_repeats(rows)
+
+
 def test_map_side_flushes(rows):
     import pyarrow as pa
 
@@ -208,7 +215,7 @@ def test_map_side_flushes(rows):
     batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())})
     old, substring._HELD = substring._HELD, 30
     try:
-        small = list(substring._edges(13, 6, 2, Held)(iter([batch.slice(i, 5) for i in range(0, len(batch), 5)])))
+        small = list(substring._edges(13, 56, 6, 2, Held)(iter([batch.slice(i, 5) for i in range(0, len(batch), 5)])))
     finally:
         substring._HELD = old
     assert len(small) > 3 and {k for b in small for k in b.column(1).to_pylist()} <= {0, 1}
