@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from typing import TextIO
 
 from pyspark.sql import SparkSession
@@ -20,8 +21,16 @@ HELP = """Commands:
 """
 
 
-def execute(store: Store, line: str) -> str | None:
-    """What a line prints; None ends the session. Commands are read in any case."""
+def _scanned(rows: Iterator) -> Iterator[str]:
+    count = 0
+    for r in rows:
+        count += 1
+        yield f"{r.key} -> {r.value}\n"
+    yield f"({count} results)\n"
+
+
+def execute(store: Store, line: str) -> str | Iterator[str] | None:
+    """What a line prints, a scan's rows as they come; None ends the session. Commands are read in any case."""
     command, _, rest = line.strip().partition(" ")
     command, rest = command.upper(), rest.strip()
     try:
@@ -48,8 +57,7 @@ def execute(store: Store, line: str) -> str | None:
             bounds = rest.split()
             if len(bounds) < 2:
                 return "Usage: SCAN <start> <end>\n"
-            rows = [f"{r.key} -> {r.value}\n" for r in store.scan(bounds[0], bounds[1]).toLocalIterator()]
-            return "".join(rows) + f"({len(rows)} results)\n"
+            return _scanned(store.scan(bounds[0], bounds[1]).toLocalIterator())
     except Status as e:
         return f"{e}\n"
     return f"Unknown command: {command}. Type HELP for usage.\n"
@@ -61,7 +69,8 @@ def run(store: Store, source: TextIO, sink: TextIO) -> None:
         out = execute(store, line)
         if out is None:
             break
-        sink.write(out + "> ")
+        sink.writelines([out] if isinstance(out, str) else out)
+        sink.write("> ")
         sink.flush()
 
 

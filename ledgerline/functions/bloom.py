@@ -103,3 +103,17 @@ def probe(keys: DataFrame, column: str, bloom: BloomFilter, out: str = "may_cont
         return pd.Series([own.may_contain(v.encode() if isinstance(v, str) else bytes(v)) for v in values])
 
     return keys.withColumn(out, test(F.col(column)))
+
+
+def per_run(keys: DataFrame, by: str = "run_id", bits_per_key: int = 10, other: str = "!") -> DataFrame:
+    """(by, keys, misses, false_hits): a filter for every run, each run one group (runs are bounded), probed with the
+    run's own keys and with as many keys that it does not hold (its own followed by other)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = sorted(set(_raw(table.column("key"))))
+        bloom = BloomFilter(len(own), bits_per_key).update(own)
+        held = set(own)
+        absent = [k for k in (k + other.encode() for k in own) if k not in held]
+        return pa.table({by: table.column(by).slice(0, 1), "keys": [len(own)], "misses": [sum(not bloom.may_contain(k) for k in own)], "false_hits": [sum(map(bloom.may_contain, absent))]})
+
+    return keys.select(by, "key").groupBy(by).applyInArrow(run, f"{by} {keys.schema[by].dataType.simpleString()}, keys long, misses long, false_hits long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def get(log: DataFrame, key) -> DataFrame:
 FEW_KEYS = 50_000
 
 
-def multi_get(log: DataFrame, probes: DataFrame, few_keys: int = FEW_KEYS) -> DataFrame:
+def multi_get(log: DataFrame, probes: DataFrame, few_keys: int = FEW_KEYS, resolve: Callable[[DataFrame], DataFrame] = current) -> DataFrame:
     """(key, value, status) for every row of probes (key); status is OK or NotFound.
 
     Probed keys are counted up to few_keys first. If they are few, a broadcast semi join keeps all else out of the
@@ -29,17 +31,17 @@ def multi_get(log: DataFrame, probes: DataFrame, few_keys: int = FEW_KEYS) -> Da
     wanted = probes.select("key").distinct()
     if wanted.limit(few_keys + 1).count() <= few_keys:
         log = log.join(F.broadcast(wanted), "key", "left_semi")
-    live = current(log).select("key", "value", F.lit("OK").alias("status"))
+    live = resolve(log).select("key", "value", F.lit("OK").alias("status"))
     return probes.select("key").join(live, "key", "left").withColumn("status", F.coalesce("status", F.lit("NotFound")))
 
 
-def scan(log: DataFrame, start, end) -> DataFrame:
-    """(key, value) of live keys in [start, end), in key order; empty if start >= end."""
-    return scan_unordered(log, start, end).orderBy("key")
+def scan(log: DataFrame, start, end, resolve: Callable[[DataFrame], DataFrame] = current) -> DataFrame:
+    """(key, value) of live keys in [start, end), in key order; empty if start >= end. resolve gives the live rows of log."""
+    return scan_unordered(log, start, end, resolve).orderBy("key")
 
 
-def scan_unordered(log: DataFrame, start, end) -> DataFrame:
-    return current(log.where((F.col("key") >= F.lit(start)) & (F.col("key") < F.lit(end)))).select("key", "value")
+def scan_unordered(log: DataFrame, start, end, resolve: Callable[[DataFrame], DataFrame] = current) -> DataFrame:
+    return resolve(log.where((F.col("key") >= F.lit(start)) & (F.col("key") < F.lit(end)))).select("key", "value")
 
 
 def seek(log: DataFrame, target) -> DataFrame:

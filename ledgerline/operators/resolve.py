@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..schema import DELETE, PUT
 
 
-def latest(log: DataFrame) -> DataFrame:
-    """(seq, op, key, value): the newest change of each key, deletions among them. The struct keeps a null value."""
+def latest(log: DataFrame, *by: str) -> DataFrame:
+    """(by, seq, op, key, value): the newest change of each key, deletions among them. The struct keeps a null value."""
     newest = F.max(F.struct("seq", "op", "value")).alias("n")
-    return log.groupBy("key").agg(newest).select("n.seq", "n.op", "key", "n.value")
+    return log.groupBy(*by, "key").agg(newest).select(*by, "n.seq", "n.op", "key", "n.value")
 
 
 def latest_by_window(log: DataFrame) -> DataFrame:
@@ -35,10 +35,10 @@ def tombstones(log: DataFrame) -> DataFrame:
     return latest(log).where(F.col("op") == DELETE).select("key", "seq")
 
 
-def merge_runs(runs: list[DataFrame], drop_tombstones: bool = False) -> DataFrame:
-    """One row a key of several runs, the newest; deletions go only where no older run can hold the key."""
+def merge_runs(runs: list[DataFrame], drop_tombstones: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key of several runs, the newest, for each value of by; deletions go only where no older run can hold the key."""
     first, *rest = runs
     for other in rest:
         first = first.unionByName(other)
-    merged = latest(first.select("seq", "op", "key", "value"))
+    merged = latest(first.select(*by, "seq", "op", "key", "value"), *by)
     return merged.where(F.col("op") == PUT) if drop_tombstones else merged

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..options import Options
+from ..options import Options, ReadOptions
 from ..schema import PUT
 from .manifest import RunFile
 from .resolve import latest
@@ -24,28 +26,34 @@ def write_run(rows: DataFrame, path: str, entries: int, options: Options, bytes_
         .sortWithinPartitions("key")
         .write.option("parquet.bloom.filter.enabled#key", "true")
         .option("parquet.bloom.filter.expected.ndv#key", str(max(1, entries // slices)))
+        .option("parquet.bloom.filter.fpp#key", f"{math.exp(-options.bloom_bits_per_key * math.log(2) ** 2):.9f}")
         .option("parquet.page.size", str(max(options.block_size, 1024)))
         .parquet(path)
     )
 
 
-def read_runs(spark: SparkSession, files: list[RunFile], base: str, row_schema) -> DataFrame:
-    """All changes of the given runs; only their paths are opened."""
+def read_runs(spark: SparkSession, files: list[RunFile], base: str, row_schema, options: ReadOptions | None = None) -> DataFrame:
+    """All changes of the given runs; only their paths are opened, and pages are checked if the options say so."""
     if not files:
         return spark.createDataFrame([], row_schema)
-    return spark.read.schema(row_schema).parquet(*[f"{base}/{f.path}" for f in files])
+    check = str((options or ReadOptions()).verify_checksums).lower()
+    return spark.read.schema(row_schema).option("parquet.page.verify-checksum.enabled", check).parquet(*[f"{base}/{f.path}" for f in files])
+
+
+def measures() -> list[F.Column]:
+    """Entries, key range and bytes of rows, as aggregates."""
+    return [F.count("*").alias("num_entries"), F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"), F.sum(entry_bytes()).alias("file_size")]
 
 
 def measure(rows: DataFrame) -> dict:
     """Entries, key range, bytes and seq range of rows, in one aggregation."""
-    r = rows.agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"), F.sum(entry_bytes()).alias("size"), F.min("seq").alias("s"), F.max("seq").alias("t")).first()
-    text = lambda k: bytes(k) if isinstance(k, bytearray) else k
-    return {"num_entries": r.n, "smallest_key": text(r.a), "largest_key": text(r.b), "file_size": r.size or 0, "min_seq": r.s or 0, "max_seq": r.t or 0}
+    r = rows.agg(*measures(), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq")).first().asDict()
+    return {k: bytes(x) if isinstance(x, bytearray) else 0 if x is None and "key" not in k else x for k, x in r.items()}
 
 
-def flush_rows(pending: DataFrame) -> DataFrame:
-    """What a run holds of pending changes: the newest of each key, deletions kept."""
-    return latest(pending).select("seq", "op", "key", "value")
+def flush_rows(pending: DataFrame, *by: str) -> DataFrame:
+    """What a run holds of pending changes: the newest of each key, deletions kept; a run for each value of by."""
+    return latest(pending, *by).select(*by, "seq", "op", "key", "value")
 
 
 def full_scan(run: DataFrame) -> DataFrame:
@@ -54,4 +62,5 @@ def full_scan(run: DataFrame) -> DataFrame:
 
 
 def live(run: DataFrame) -> DataFrame:
-    return run.where(F.col("op") == PUT)
+    """(key, value, seq) of the live entries of runs that share no key: nothing has to be resolved."""
+    return run.where(F.col("op") == PUT).select("key", "value", "seq")

@@ -13,10 +13,10 @@ class Options:
 
     db_path: str = "./ledgerline_data"
     memtable_size_threshold: int = 4 * 1024 * 1024  # bytes of pending changes that make a run
-    sync_wal: bool = True  # Spark's commit protocol always syncs an append before it returns
-    block_size: int = 4096
-    bloom_bits_per_key: int = 10
-    block_restart_interval: int = 16
+    sync_wal: bool = True  # the manifest that publishes an append is forced to disk
+    block_size: int = 4096  # the least size of a page of a run
+    bloom_bits_per_key: int = 10  # the rate of a run's Bloom filter on key follows from it
+    block_restart_interval: int = 16  # of the analyses of a store's blocks
     level0_compaction_trigger: int = 4
     level_size_multiplier: int = 10
     level1_max_bytes: int = 10 * 1024 * 1024
@@ -24,7 +24,7 @@ class Options:
     binary: bool = False
 
     def __post_init__(self) -> None:
-        for name in ("memtable_size_threshold", "block_size", "block_restart_interval", "level0_compaction_trigger", "level_size_multiplier", "level1_max_bytes"):
+        for name in ("memtable_size_threshold", "block_size", "bloom_bits_per_key", "block_restart_interval", "level0_compaction_trigger", "level_size_multiplier", "level1_max_bytes"):
             if getattr(self, name) < 1:
                 raise InvalidArgument(f"{name} must be positive")
         if self.max_levels < 2:
@@ -37,9 +37,9 @@ class Options:
 
 @dataclass(frozen=True)
 class ReadOptions:
-    verify_checksums: bool = True
+    verify_checksums: bool = True  # of the pages of runs
 
 
 @dataclass(frozen=True)
 class WriteOptions:
-    sync: bool = False
+    sync: bool = False  # force this append to disk also where sync_wal is off

@@ -1,8 +1,10 @@
-"""An HTTP front end: python -m ledgerline.server --db FOLDER [--host H] [--port P]"""
+"""An HTTP front end: python -m ledgerline.server --db FOLDER [--host H] [--port P] [--text]"""
 
 from __future__ import annotations
 
 import argparse
+import base64
+import itertools
 import json
 import signal
 import sys
@@ -16,6 +18,14 @@ from .options import Options
 from .store import Store
 
 
+def _field(name: str, value: bytes | str) -> dict[str, str]:
+    """A key or value for JSON: as text, or as base64 under another name if it is not UTF-8."""
+    try:
+        return {name: value if isinstance(value, str) else bytes(value).decode()}
+    except UnicodeDecodeError:
+        return {f"{name}_base64": base64.b64encode(bytes(value)).decode()}
+
+
 def handler(store: Store) -> type[BaseHTTPRequestHandler]:
     class Handler(BaseHTTPRequestHandler):
         def log_message(self, *_: object) -> None:
@@ -29,6 +39,20 @@ def handler(store: Store) -> type[BaseHTTPRequestHandler]:
             self.end_headers()
             self.wfile.write(body)
 
+        def _stream(self, rows) -> None:
+            """Rows as one JSON list, sent as they come; the end of the connection ends it."""
+            first = next(rows, None)  # a scan that fails does so before the status is sent
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Connection", "close")
+            self.end_headers()
+            self.wfile.write(b"[")
+            for i, r in enumerate(rows if first is None else itertools.chain([first], rows)):
+                body = json.dumps(_field("key", r.key) | _field("value", r.value), ensure_ascii=False)
+                self.wfile.write((", " if i else "").encode() + body.encode())
+            self.wfile.write(b"]")
+            self.close_connection = True
+
         def _key(self) -> str | None:
             path = urlsplit(self.path).path
             return unquote(path[4:]) if path.startswith("/db/") and len(path) > 4 else None
@@ -54,8 +78,7 @@ def handler(store: Store) -> type[BaseHTTPRequestHandler]:
                 asked = parse_qs(url.query, keep_blank_values=True)
                 if not {"start", "end"} <= asked.keys():
                     return self._send(400, "Missing start/end params")
-                rows = [{"key": r.key, "value": r.value} for r in store.scan(asked["start"][0], asked["end"][0]).toLocalIterator()]
-                return self._send(200, json.dumps(rows, ensure_ascii=False), "application/json")
+                return self._stream(store.scan(asked["start"][0], asked["end"][0]).toLocalIterator())
             if (key := self._key()) is not None:
                 value = store.get(key)
                 return self._send(200, value, "application/octet-stream")
@@ -66,7 +89,10 @@ def handler(store: Store) -> type[BaseHTTPRequestHandler]:
                 body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
                 if (key := self._key()) is None:
                     return self._send(404, "Not Found")
-                store.put(key, body.decode("utf-8", "replace"))
+                try:
+                    store.put(key, body if store.options.binary else body.decode())
+                except UnicodeDecodeError:
+                    return self._send(400, "This store holds text; the value is not UTF-8")
                 return self._send(200, "OK")
 
             self._guarded(work)
@@ -104,9 +130,10 @@ def main(args: list[str]) -> int:
     options.add_argument("--db", default=Options().db_path)
     options.add_argument("--host", default="127.0.0.1")
     options.add_argument("--port", type=int, default=8080)
+    options.add_argument("--text", action="store_true", help="the store holds text; without it, keys and values are bytes")
     asked = options.parse_args(args)
     spark = SparkSession.builder.appName("ledgerline").getOrCreate()
-    with Store(spark, Options(db_path=asked.db)) as store:
+    with Store(spark, Options(db_path=asked.db, binary=not asked.text)) as store:
         server = Server(store, asked.host, asked.port)
         for s in (signal.SIGINT, signal.SIGTERM):
             signal.signal(s, lambda *_: sys.exit(0))

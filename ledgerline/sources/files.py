@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
+from ..functions.status import InvalidArgument
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by spark.checkpoint.dir. Without that setting, a folder of this
+    machine is only used if the whole of Spark runs on it (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+            raise InvalidArgument("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='ledgerline')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
 
 class Files:
     def __init__(self, spark: SparkSession, base: str):
@@ -35,14 +52,16 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, data: bytes) -> None:
-        """Writes under another name and renames, so that readers see all or nothing."""
+    def write(self, name: str, data: bytes, sync: bool = True) -> None:
+        """Writes under another name and renames, so that readers see all or nothing; with sync, it is on disk before that."""
         part = f"{name}.part"
         stream = self.fs.create(self.path(part), True)
         stream.write(bytearray(data))
-        stream.hsync()
+        if sync:
+            stream.hsync()
         stream.close()
-        self.fs.delete(self.path(name), False)
+        if self.exists(name):
+            self.fs.delete(self.path(name), False)
         if not self.fs.rename(self.path(part), self.path(name)):
             raise OSError(f"can't rename {part}")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import threading
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from . import schema
 from .functions.codec import crc32c_udf
 from .functions.status import Closed, Corruption, InvalidArgument, NotFound
-from .operators import compaction, manifest, reads, runs
+from .operators import blocks, compaction, manifest, reads, runs
 from .operators.manifest import RunFile
 from .operators.ranks import numbered
-from .operators.resolve import merge_runs
-from .options import Options
+from .operators.resolve import current, merge_runs
+from .options import Options, ReadOptions, WriteOptions
 from .schema import DELETE, PUT
 from .sources.files import Files
 
@@ -31,8 +32,8 @@ class Store:
     the rename of a manifest, so a crash leaves either the old or the new state.
     """
 
-    def __init__(self, spark: SparkSession, options: Options | None = None, strict: bool = False):
-        self.spark, self.options = spark, options or Options()
+    def __init__(self, spark: SparkSession, options: Options | None = None, strict: bool = False, reading: ReadOptions | None = None):
+        self.spark, self.options, self.reading = spark, options or Options(), reading or ReadOptions()
         self.files = Files(spark, self.options.db_path)
         self.files.make()
         self._lock, self._open = threading.RLock(), True
@@ -111,9 +112,9 @@ class Store:
 
     # --- writing ---------------------------------------------------------------------------------------------
 
-    def _publish(self, state: manifest.Manifest) -> None:
+    def _publish(self, state: manifest.Manifest, sync: bool = True) -> None:
         state = replace(state, version=state.version + 1)
-        manifest.save(self.files, state)
+        manifest.save(self.files, state, sync)
         manifest.prune(self.files)
         self._state = state
 
@@ -141,12 +142,15 @@ class Store:
     def delete_many(self, rows: DataFrame) -> None:
         self.append(rows.select("key", F.lit(None).cast(schema.key_type(self.options.binary)).alias("value"), F.lit(DELETE).alias("op")))
 
-    def append(self, rows: DataFrame, order_by: str | None = None) -> None:
+    def append(self, rows: DataFrame, order_by: str | None = None, stream: tuple[str, int] | None = None, write: WriteOptions | None = None) -> None:
         """Appends changes (op, key, value) as one batch.
 
         order_by names a column of unique whole numbers that orders the changes; the batch's seq are those
-        numbers, moved past the last used one. Without it, a key may occur once only.
+        numbers, moved past the last used one. Without it, a key may occur once only. stream names a stream and its
+        batch: the manifest that publishes the changes also says that the batch is done, and no batch is applied twice.
         """
+        if stream is not None and stream[1] <= dict(self._state.streams).get(stream[0], -1):
+            return
         unique = "key" if order_by is None else order_by
         seen = [F.count("*"), F.count_distinct(unique)]
         if order_by is not None:
@@ -158,9 +162,9 @@ class Store:
         if order_by is None:
             rows, ends = numbered(rows.select("op", "key", "value"), "key", out="seq"), [1, count]
         if count:
-            self._append(rows.select("seq", "op", "key", "value"), *ends)
+            self._append(rows.select("seq", "op", "key", "value"), *ends, stream, write)
 
-    def _append(self, rows: DataFrame, low: int, high: int) -> None:
+    def _append(self, rows: DataFrame, low: int, high: int, stream: tuple[str, int] | None = None, write: WriteOptions | None = None) -> None:
         """Writes changes whose seq lie in [low, high], moved past the last used number."""
         with self._lock:
             self._check()
@@ -168,7 +172,9 @@ class Store:
             rows = rows.withColumn("seq", F.col("seq") - F.lit(low) + F.lit(base)).observe(size, F.sum(runs.entry_bytes()).alias("bytes"))
             rows.withColumn("stored_crc", crc32c_udf(_payload())).write.parquet(self.files.full(name))
             pending = self.pending_bytes() + (size.get["bytes"] or 0)  # of older batches, then of this one
-            self._publish(replace(self._state, next_seq=base + high - low + 1, log=(*self._state.log, name)))
+            streams = self._state.streams if stream is None else tuple({**dict(self._state.streams), stream[0]: stream[1]}.items())
+            sync = self.options.sync_wal or (write or WriteOptions()).sync
+            self._publish(replace(self._state, next_seq=base + high - low + 1, log=(*self._state.log, name), streams=streams), sync)
             self._pending_bytes = pending
             if pending >= self.options.memtable_size_threshold:
                 self.flush()
@@ -210,7 +216,7 @@ class Store:
         return [RunFile(level=level, file_number=number, path=name, **size)]
 
     def _runs(self, files: list[RunFile]) -> DataFrame:
-        return runs.read_runs(self.spark, files, self.files.base, schema.changelog(self.options.binary))
+        return runs.read_runs(self.spark, files, self.files.base, schema.changelog(self.options.binary), self.reading)
 
     def compact(self) -> int:
         """Compacts until no task is due; returns the number of compactions."""
@@ -230,10 +236,17 @@ class Store:
 
     def changes(self, start=None, end=None) -> DataFrame:
         """All changes that can matter for a key (end None) or for [start, end); runs are chosen by the manifest."""
+        return self._changes(start, end)[0]
+
+    def _changes(self, start=None, end=None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        """changes(), and what gives their live rows: runs that share no key need no resolving, if nothing is pending."""
         self._check()
         state = self._state
         files = list(state.files) if start is None else state.holding(start, end)
-        return self._read_log(state.log).select("seq", "op", "key", "value").unionByName(self._runs(files))
+        log = self._runs(files)
+        if state.log:
+            log = self._read_log(state.log).select("seq", "op", "key", "value").unionByName(log)
+        return log, runs.live if not state.log and state.disjoint(files) else current
 
     def get(self, key):
         """The value of a key; NotFound if it is absent or deleted."""
@@ -244,20 +257,39 @@ class Store:
         return bytes(row.value) if self.options.binary else row.value
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        return reads.multi_get(self.changes(), keys)
+        """(key, value, status) for every row of keys; only runs that overlap the keys' range are opened."""
+        low, high = keys.agg(F.min("key"), F.max("key")).first()
+        log, resolve = self._changes() if low is None else self._changes(_typed(low, self.options.binary), _after(_typed(high, self.options.binary)))
+        return reads.multi_get(log, keys, resolve=resolve)
 
     def scan(self, start, end) -> DataFrame:
         """Live pairs with start <= key < end, in key order."""
         start, end = _typed(start, self.options.binary), _typed(end, self.options.binary)
-        return reads.scan(self.changes(start, end), start, end)
+        log, resolve = self._changes(start, end)
+        return reads.scan(log, start, end, resolve)
 
     def seek(self, target) -> DataFrame:
-        return reads.seek(self.changes(), _typed(target, self.options.binary))
+        """The first live pair at or after target. The runs' own bounds cut the keys that follow into ranges; they are tried
+        in order, ever more of them at once, so that a near key costs a small read."""
+        target = _typed(target, self.options.binary)
+        bounds, step = self._state.bounds(target), 1
+        while bounds:
+            end = _after(bounds[min(step, len(bounds)) - 1])
+            found = self.scan(target, end).limit(1)
+            if not found.isEmpty():
+                return found
+            bounds, step, target = bounds[step:], 4 * step, end
+        return reads.seek(self.changes(), target)
 
     def current(self) -> DataFrame:
-        from .operators.resolve import current
+        log, resolve = self._changes()
+        return resolve(log)
 
-        return current(self.changes())
+    def block_cuts(self) -> DataFrame:
+        """How the store's runs would lie in blocks of the options' size and restart interval."""
+        parts = [self._runs([f]).select(F.lit(f.file_number).cast("long").alias("run_id"), "key", "value") for f in self._state.files]
+        rows = functools.reduce(DataFrame.unionByName, parts) if parts else self._runs([]).select(F.lit(0).cast("long").alias("run_id"), "key", "value")
+        return blocks.block_cuts(rows, self.options.block_size, self.options.block_restart_interval)
 
     @property
     def state(self) -> manifest.Manifest:
@@ -281,6 +313,11 @@ def _typed(value, binary: bool):
     return value.decode() if isinstance(value, bytes | bytearray) else value
 
 
+def _after(key):
+    """The least key greater than key."""
+    return key + ("\0" if isinstance(key, str) else b"\0")
+
+
 def _payload() -> F.Column:
     """The bytes that a change's checksum covers."""
     return F.concat(F.encode(F.concat_ws("|", F.col("seq").cast("string"), "op", F.octet_length("key").cast("string")), "utf-8"), F.col("key").cast("binary"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import padded
+from ..operators.resolve import current
 from ..schema import DELETE, PUT
+from ..sources.files import Files, shared_dir
 
 
 def changes_of(events: DataFrame) -> DataFrame:
@@ -34,37 +35,34 @@ def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hou
 def ingest(changes: DataFrame, store, checkpoint: str, trigger: dict | None = None):
     """Appends each micro-batch of changes (seq, op, key, value) to the store; returns the running query.
 
-    A batch that was applied before a restart is known by its id, kept beside the store, and is not applied again.
+    The manifest that publishes a batch holds its id, so a batch is applied once, wherever a run before stopped.
     """
-    mark = f"STREAM-{uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex}"
+    name = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        done = int(store.files.read(mark)) if store.files.exists(mark) else -1
-        if batch_id <= done:
-            return
         batch = batch.persist()
         try:
-            store.append(batch, order_by="seq")
+            store.append(batch, order_by="seq", stream=(name, batch_id))
         finally:
             batch.unpersist()
-        store.files.write(mark, str(batch_id).encode())
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def latest_state_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live keys of the events table, read as a stream of files until its end; each batch replaces the stored state."""
+    """Live keys of the events table, read as a stream of files until its end.
+
+    Each batch writes only the keys that it changed, under its own id, so a repeated batch replaces itself; the batches
+    are a change log, and the state is its newest change of each key.
+    """
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet")
     folder, _, name = path.rpartition("/")
     is_file = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isFile()
     rows = events.option("pathGlobFilter", name).parquet(folder) if is_file else events.parquet(path)
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerline')}"
-    place = f"{base.rstrip('/')}/latest-{uuid.uuid4().hex}"
+    place = Files(spark, f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}")
+    place.make("state")
     state = latest_state(changes_of(rows))
-    write = state.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/state"))
-    write.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema(state.schema)
-    exists = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/state").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{place}/state"))
-    state = found.parquet(f"{place}/state") if exists else spark.createDataFrame([], state.schema)
-    return state.where(F.col("op") == PUT).select("key", "value", "seq")
+    write = state.writeStream.outputMode("update").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(place.full(f"state/batch={i}")))
+    write.option("checkpointLocation", place.full("checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return current(spark.read.schema(state.schema).parquet(place.full("state")))
