@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 from .scratch import components, forest, free, save
+from .text import thrifty
 
 LINES = 16
 RECALL = 0.999
@@ -66,6 +67,7 @@ def _lines(dim: int, count: int, salt: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=0)
 
 
+@thrifty
 def _clean(kind: str, batches):
     """Usable vectors as bytes of their own precision; others get null."""
     for batch in batches:
@@ -95,6 +97,7 @@ def _codes(x: np.ndarray, p: dict, rounds: int) -> np.ndarray:
     return (signs.reshape(len(x), rounds, p["bits"]) << np.arange(p["bits"])).sum(2)
 
 
+@thrifty
 def _cells(p: dict, batches):
     """The cells of each vector, one a round, apart by the vectors' lengths."""
     for batch in batches:
@@ -190,7 +193,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     dealt = meets.join(cells, (meets["round"] == cells["r"]) & (meets["cell"] == cells["c"])).drop("r", "c")
     dealt = dealt.withColumn("g", F.pmod(F.xxhash64("vid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("g", "other")).withColumn("hi", F.greatest("g", "other"))
-    found = save(dealt.select("round", "cell", "lo", "hi", "g", "vid", "mult", "v").groupBy("round", "cell", "lo", "hi").applyInArrow(lambda t: _compare(p, t), "a long, b long, links long"))
+    found = save(dealt.select("round", "cell", "lo", "hi", "g", "vid", "mult", "v").groupBy("round", "cell", "lo", "hi").applyInArrow(thrifty(lambda t: _compare(p, t)), "a long, b long, links long"))
 
     roots = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("of")).agg(F.sum("links").alias("links"))

@@ -112,6 +112,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.maximum.reduceat(found, starts), first
 
 
+@T.thrifty
 def _count(batches):
     """Trigram and script counts by language of a task's rows (lang, text), in blocks of cells."""
     cells: dict[str, np.ndarray] = {}
@@ -191,6 +192,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     return state
 
 
+@T.thrifty
 def _label(model, switch: float, text_at: int, batches):
     """Spans and language of each text."""
     m = model.value

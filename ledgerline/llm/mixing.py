@@ -98,6 +98,7 @@ def permuted(block: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarra
     return x.astype(np.int64)
 
 
+@T.thrifty
 def _sizes(text_at: int, keep: bool, batches):
     """The rows with their number of words; without the text unless it is to be kept."""
     for whole in batches:
@@ -164,6 +165,7 @@ def draw(docs: DataFrame, shards: int | None = None, seed: int = SEED, block_wor
     at = at.join(index, at["source"].eqNullSafe(index["s"])).select("doc_id", "source", "size", "low", "source_index")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @T.thrifty
     def run(batches):
         for batch in batches:
             size, low, source = (batch.column(i).to_numpy() for i in (2, 3, 4))
@@ -181,6 +183,7 @@ def draw(docs: DataFrame, shards: int | None = None, seed: int = SEED, block_wor
     return at.mapInArrow(run, f"doc_id {kind}, size long, source_size long, target double, taken long, pieces {PIECES}, source string")
 
 
+@T.thrifty
 def _cut_texts(plan, text_at: int, width: int, batches):
     """A row for each run of words drawn in one pass; a whole text stays as it is. After the rows' own width columns come
     size, the place in the source's stream and the source's number."""

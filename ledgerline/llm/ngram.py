@@ -31,7 +31,7 @@ from . import text as T
 from .scratch import components, forest, free, fresh, id_filter, in_filter, parts, save
 
 _MEMBERS, _TOKENS, _GROUP, _RUN = 96, 1_000_000, 16, 64
-_HELD = 500_000
+_HELD = 250_000
 _TASK = 4_000_000  # n-grams of the corpus for each task that meets postings
 _HOT = 0xFFFFFFFF  # the rank of a class that stands for others of a common n-gram
 _POSTED = "target int, grams binary, cids binary, sizes binary, ranks binary"
@@ -77,6 +77,7 @@ def _survey(n: int):
     """Each document's class and size, and at its end the task's sketch of n-gram counts."""
     schema = pa.schema([("block", pa.int32()), ("counts", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64())])
 
+    @T.thrifty
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for whole in batches:
@@ -159,6 +160,7 @@ def _packed(gram: np.ndarray, cid: np.ndarray, size: np.ndarray, rank: np.ndarra
 def _first_grams(n: int, percent: int, targets: int, counts):
     """The first n-grams of each class of a task, packed by target."""
 
+    @T.thrifty
     def run(batches):
         rare = counts.value
         held: list[tuple[np.ndarray, ...]] = []
@@ -193,6 +195,7 @@ def _first_grams(n: int, percent: int, targets: int, counts):
 def _all_grams(n: int, targets: int):
     """All n-grams of the rows' classes (cid, text), packed by target."""
 
+    @T.thrifty
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -227,6 +230,7 @@ def _all_grams(n: int, targets: int):
 def _count(targets: int):
     """How many classes hold each n-gram; those in two or more go back to their classes with that number."""
 
+    @T.thrifty
     def run(table: pa.Table) -> pa.Table:
         gram = np.concatenate([T.unpack_sorted(x.as_py()) for x in table.column("grams")])
         cid, size = (np.concatenate([T.unpack(x.as_py(), kind) for x in table.column(name)]) for name, kind in (("cids", np.int64), ("sizes", np.uint32)))
@@ -251,6 +255,7 @@ def _count(targets: int):
 def _first_again(percent: int, targets: int):
     """The first n-grams of each class in the order of exact counts; n-grams that nothing else holds come first of all."""
 
+    @T.thrifty
     def run(table: pa.Table) -> pa.Table:
         gram = np.concatenate([T.unpack_sorted(x.as_py()) for x in table.column("grams")])
         cid, size, many = (np.concatenate([T.unpack(x.as_py(), kind) for x in table.column(name)]) for name, kind in (("cids", np.int64), ("sizes", np.uint32), ("ranks", np.uint32)))
@@ -275,6 +280,7 @@ def _meet(percent: int):
     _RUN classes, they are joined by nearness of their sizes alone, in time linear in their number.
     """
 
+    @T.thrifty
     def run(table: pa.Table) -> pa.Table:
         joined = table.filter(table.column("sizes").is_null())
         table = table.filter(table.column("sizes").is_valid())
@@ -377,6 +383,7 @@ def _read(table: pa.Table, n: int) -> tuple[list[np.ndarray], np.ndarray]:
 def _open(n: int, percent: int):
     """Compares the blocks of every pair dealt to this task: link counts by class, and forests of the links."""
 
+    @T.thrifty
     def run(table: pa.Table) -> pa.Table:
         key = np.stack([table.column(c).to_numpy() for c in ("comp", "lo", "hi")], 1)
         cid, mult, block = (table.column(c).to_numpy() for c in ("cid", "mult", "g"))
@@ -437,6 +444,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, by_row: b
         """The rows whose doc_id is that of a class (rep), and others by chance."""
         wanted = spark.sparkContext.broadcast(id_filter(some.select("rep"), lambda batch: batch.column(0).to_numpy(zero_copy_only=False)))
 
+        @T.thrifty
         def run(batches):
             for batch in batches:
                 yield batch.filter(pa.array(in_filter(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
@@ -491,6 +499,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     at = docs.columns.index("doc_id")
 
     def part(held, wanted: bool):
+        @T.thrifty
         def run(batches):
             for batch in batches:
                 own = batch.column(at).cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
@@ -507,6 +516,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     cid = fresh(docs, "cid")
 
+    @T.thrifty
     def classed(batches):
         for whole in batches:
             for batch in T.pieces(whole, "text"):

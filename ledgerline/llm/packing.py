@@ -55,6 +55,7 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     return out[::-1]
 
 
+@T.thrifty
 def _cut(most: int, text_at: int, keep: bool, batches):
     """The sequences of each text: first word and number of words, and with keep all columns, the text cut to the sequence."""
     for whole in batches:

@@ -126,6 +126,7 @@ def _base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
     return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
 
 
+@T.thrifty
 def _measured(batches):
     for whole in batches:
         at = whole.schema.get_field_index("text")
@@ -200,6 +201,7 @@ def _fits(cells: DataFrame, keys: list[str]) -> DataFrame:
     """The estimate of every group of cells; a group has at most GRID rows."""
     grid = [f"c{i}" for i in range(_DIM)]
 
+    @T.thrifty
     def run(table: pa.Table) -> pa.Table:
         got = np.stack([table.column(c).to_numpy() for c in _MOMENTS], 1)
         got = got[np.lexsort([table.column(c).to_numpy() for c in grid])]
@@ -263,6 +265,7 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     at = plain.join(fits, plain[f"c{lang}"].eqNullSafe(fits["l"]) & plain[f"c{source}"].eqNullSafe(fits["s"]))  # pairs without a fit have no good row
     at = at.select(*plain.columns, "mu", "inverse")
 
+    @T.thrifty
     def judge(batches):
         for whole in batches:
             for batch in T.pieces(whole, f"c{text}"):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,24 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import mix
+from ..sources.files import shared_dir
+from .text import mix, thrifty
 
 FILTER_BITS = 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='ledgerline')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def save(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/ledgerline-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ledgerline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -66,6 +57,7 @@ def _cells(ids: np.ndarray) -> np.ndarray:
 def id_filter(df: DataFrame, ids: Callable[[pa.RecordBatch], np.ndarray]) -> bytes:
     """A filter of fixed size (2**FILTER_BITS bits) that holds all the ids of df's batches, and by chance others."""
 
+    @thrifty
     def mark(batches):
         bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
@@ -113,6 +105,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[keep]], nodes[keep]
 
 
+@thrifty
 def _local(batches):
     """Edges of one task as stars, in bounded pieces."""
     held: list[tuple[np.ndarray, np.ndarray]] = []

@@ -97,6 +97,7 @@ def _hashes(words: np.ndarray, k: int, bits: int) -> np.ndarray:
 def _edges(k: int, bits: int, lots: int, targets: int, twice):
     """Map side: the k-mers of a task's documents; of each, those of its smallest document go on, others are repeated."""
 
+    @T.thrifty
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -146,6 +147,7 @@ def _edges(k: int, bits: int, lots: int, targets: int, twice):
 def _reduce(ratio: int, targets: int):
     """Reduce side, in ratio * targets groups: each edge's source over all tasks; occurrences in larger documents leave as spans."""
 
+    @T.thrifty
     def run(table: pa.Table) -> pa.Table:
         rows = []
         kinds = table.column("kind").to_numpy()
@@ -194,6 +196,7 @@ def _unpacked(table: pa.Table) -> pa.Table:
 def _digests_of(k: int, twice):
     """For texts and the spans asked of them (doc_id, text, spans): each span that lies in the text, and its words' digest."""
 
+    @T.thrifty
     def run(batches):
         for whole in batches:
             for batch in T.pieces(whole, "text"):
@@ -292,6 +295,7 @@ def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows (doc_id, text) of the given ids (one column), and others by chance."""
     held = rows.sparkSession.sparkContext.broadcast(id_filter(ids, _ids_of))
 
+    @T.thrifty
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(in_filter(held.value, _ids_of(batch))))
@@ -321,6 +325,7 @@ def _by_words(rows: DataFrame, failed: DataFrame, k: int, bits: int, targets: in
         starts, ends, first = T.word_spans(data, offsets)
         return data, starts, ends, first, T.word_hashes(data, starts, ends)
 
+    @T.thrifty
     def doubtful(batches):
         for whole in batches:
             for batch in T.pieces(whole, "text"):
@@ -336,6 +341,7 @@ def _by_words(rows: DataFrame, failed: DataFrame, k: int, bits: int, targets: in
     hashes = texts.join(asked, texts["doc_id"] == asked["doc"]).select("doc_id", "text", "spans").mapInArrow(doubtful, "h long").distinct()
     held = rows.sparkSession.sparkContext.broadcast(id_filter(hashes, _ids_of))
 
+    @T.thrifty
     def occurrences(batches):
         for whole in batches:
             for batch in T.pieces(whole, "text"):
@@ -381,12 +387,14 @@ def _split(docs: DataFrame, targets: int, hit: Broadcast) -> tuple[DataFrame, Da
     """Documents that may have spans, with their target, all others, and the name of the target's column."""
     name = fresh(docs, "__target")
 
+    @T.thrifty
     def some(batches):
         for batch in batches:
             ids = _ids(batch)
             target = pa.array(_targets(_doc_hash(ids), targets).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, target], names=[*batch.schema.names, name]).filter(pa.array(in_filter(hit.value, ids)))
 
+    @T.thrifty
     def rest(batches):
         for batch in batches:
             yield batch.filter(pa.array(~in_filter(hit.value, _ids(batch))))
@@ -409,6 +417,7 @@ def repeated_words(docs: DataFrame, k: int = WINDOW, bits: int = HASH_BITS) -> D
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.table(_digests(cover(key, left, right)), names=names)
 
+    @T.thrifty
     def whole(batches):
         for batch in batches:
             for piece in T.pieces(batch, "text"):

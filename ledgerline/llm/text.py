@@ -7,7 +7,9 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 is the pa
 from __future__ import annotations
 
 import ctypes
+import functools
 import hashlib
+import inspect
 import sys
 from collections.abc import Iterator
 
@@ -53,6 +55,28 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+def thrifty(task):
+    """A function over a task's batches, or over a group's table, that gives freed memory back once it is through."""
+    if inspect.isgeneratorfunction(task):
+
+        @functools.wraps(task)
+        def batches(*args):
+            try:
+                yield from task(*args)
+            finally:
+                give_back()
+
+        return batches
+
+    def group(table: pa.Table) -> pa.Table:
+        try:
+            return task(table)
+        finally:
+            give_back()
+
+    return group
+
+
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

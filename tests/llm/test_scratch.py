@@ -33,7 +33,8 @@ def test_components(spark, monkeypatch, limit):
 def test_offsets(spark, lots):
     rows = [(["a", "b", None][i % 3], i, i % 5) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, id long, n long").withColumn("h", F.xxhash64("id")).repartition(5)
-    got = S.offsets(df, ["k"], ["h", "id"], "n", "low", lots).collect()
+    lots = lots or S.lots_of(spark)
+    got = S.offsets(df, ["k"], ["h", "id"], "n", "low", S.lot_bases(df, ["k"], "h", "n", lots), lots).collect()
     for key in ("a", "b", None):
         total = 0
         for r in sorted((r for r in got if r.k == key), key=lambda r: (r.h, r.id)):
