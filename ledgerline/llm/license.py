@@ -51,6 +51,11 @@ TEMPLATES = {
         INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
         IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
         PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-conditions": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: Redistributions of source code must retain the above copyright notice,
+        this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution.""",
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
         this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
