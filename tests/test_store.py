@@ -242,3 +242,35 @@ def test_http(open_store):
         assert call("/db/a/b") == (404, "Not Found")
     finally:
         server.stop()
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_http_keeps_bytes(open_store, binary):
+    store = open_store(binary=binary)
+    server = Server(store, port=0)
+    threading.Thread(target=server.start, daemon=True).start()
+    url = f"http://127.0.0.1:{server.port}/db/k"
+    raw = b"\xff\xfeA"
+    try:
+        ask = urllib.request.Request(url, method="PUT", data=raw)
+        if binary:
+            urllib.request.urlopen(ask).read()
+            assert urllib.request.urlopen(url).read() == raw
+            assert json.loads(urllib.request.urlopen(url.replace("/k", "?start=a&end=z")).read()) == [{"key": "k", "value_base64": "//5B"}]
+        else:
+            with pytest.raises(urllib.error.HTTPError):
+                urllib.request.urlopen(ask)
+            assert missing(store, "k")
+    finally:
+        server.stop()
+
+
+def test_a_stream_batch_is_applied_once(spark, open_store):
+    store, rows = open_store(), spark.createDataFrame([(1, "PUT", "k", "v")], "seq long, op string, key string, value string")
+    store.append(rows, "seq", stream=("s", 0))
+    store.close()  # stopped right after the batch was published
+    store = open_store()
+    store.append(rows, "seq", stream=("s", 0))
+    assert store.changes().count() == 1 and store.state.streams == (("s", 0),)
+    store.append(rows, "seq", stream=("s", 1))
+    assert store.changes().count() == 2
