@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bloom
-from ..functions.codec import crc32c_udf, mask_crc_column, murmur3_udf, unmask_crc_column, varint_length
+from ..functions.codec import CASTAGNOLI, MASK_DELTA, MURMUR_ADD, MURMUR_C1, MURMUR_C2, MURMUR_MIX, MURMUR_SEED, crc32c_udf, mask_crc_column, murmur3_udf, unmask_crc_column, varint_length
 from ..functions.keys import byte_length, padded
 from ..operators import blocks, manifest, ranks, reads, resolve
 from ..operators.runs import flush_rows, measures
@@ -295,6 +295,49 @@ def _varint(n: str) -> str:
 _PREVIOUS = "lag(key) OVER (ORDER BY key)"
 _SHARED = "coalesce(list_min(list_filter(range(1, least(length(key), length(prev)) + 1), lambda i: key[i] <> prev[i])) - 1, least(length(key), length(prev)))"
 
+# Checksums and hashes by 32-bit steps in UBIGINT; keys are ASCII.
+_BYTES = "keys AS (SELECT key, list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS UBIGINT)) AS b FROM (SELECT DISTINCT key FROM log))"
+_LOW = "CAST(4294967295 AS UBIGINT)"
+
+
+def _turn(x: str, n: int) -> str:
+    return f"(((({x}) << {n}) | (({x}) >> {32 - n})) & {_LOW})"
+
+
+def _times(x: str, factor: int) -> str:
+    return f"((({x}) * CAST({factor} AS UBIGINT)) & {_LOW})"
+
+
+def _scrambled(k: str) -> str:
+    return _times(_turn(_times(k, MURMUR_C1), 15), MURMUR_C2)
+
+
+# One byte's remainder by the reflected Castagnoli polynomial, for all 256 bytes.
+_CRC = f"""{_WITH.replace("WITH", "WITH RECURSIVE", 1)}, {_BYTES},
+bit AS (SELECT CAST(range AS UBIGINT) AS byte, CAST(range AS UBIGINT) AS c, 0 AS n FROM range(256)
+    UNION ALL SELECT byte, xor(c >> 1, CASE WHEN c & 1 = 1 THEN CAST({CASTAGNOLI} AS UBIGINT) ELSE CAST(0 AS UBIGINT) END), n + 1 FROM bit WHERE n < 8),
+t AS (SELECT list(c ORDER BY byte) AS t FROM bit WHERE n = 8),
+crcs AS (SELECT key, xor(list_reduce(list_prepend({_LOW}, b), lambda c, x: xor(t[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8)), {_LOW}) AS crc FROM keys, t)"""
+
+_MURMUR = f"""{_WITH}, {_BYTES},
+words AS (SELECT key, len(b) AS size, list_transform(range(0, len(b) // 4), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) AS k,
+    CAST(coalesce(list_sum(list_transform(range(0, len(b) % 4), lambda i: b[len(b) - len(b) % 4 + i + 1] << (8 * i))), 0) AS UBIGINT) AS tail FROM keys),
+whole AS (SELECT key, size, tail, list_reduce(list_prepend(CAST({MURMUR_SEED} AS UBIGINT), list_transform(k, lambda x: {_scrambled("x")})),
+    lambda h, x: ({_turn("xor(h, x)", 13)} * 5 + {MURMUR_ADD}) & {_LOW}) AS h FROM words),
+ended AS (SELECT key, xor(xor(h, {_scrambled("tail")}), CAST(size AS UBIGINT)) AS h FROM whole),
+one AS (SELECT key, {_times("xor(h, h >> 16)", MURMUR_MIX[0])} AS h FROM ended),
+two AS (SELECT key, {_times("xor(h, h >> 13)", MURMUR_MIX[1])} AS h FROM one)"""
+
+_CUTS = f"""{_WITH.replace("WITH", "WITH RECURSIVE", 1)},
+placed AS (SELECT run_id, key, coalesce(octet_length(encode(value)), 0) AS body, row_number() OVER w AS rn, lag(key) OVER w AS prev FROM run WINDOW w AS (PARTITION BY run_id ORDER BY key)),
+entry AS (SELECT run_id, key, body, rn, CASE WHEN prev IS NULL THEN 0 ELSE {_SHARED} END AS common FROM placed),
+sizes AS (SELECT run_id, key, rn, {_varint("common")} + {_varint("(length(key) - common)")} + {_varint("body")} + length(key) - common + body AS shared_size,
+    1 + {_varint("length(key)")} + {_varint("body")} + length(key) + body AS full_size FROM entry),
+walk AS (SELECT run_id, key, rn, CAST(0 AS BIGINT) AS block, CAST(full_size AS BIGINT) AS size, CAST(2 AS BIGINT) AS restarts, CAST(1 AS BIGINT) AS entries FROM sizes WHERE rn = 1
+    UNION ALL SELECT s.run_id, s.key, s.rn, w.block + cut, CASE WHEN cut = 1 THEN full_size WHEN w.entries % 16 = 0 THEN w.size + full_size ELSE w.size + shared_size END,
+        CASE WHEN cut = 1 THEN 2 WHEN w.entries % 16 = 0 THEN w.restarts + 1 ELSE w.restarts END, CASE WHEN cut = 1 THEN 1 ELSE w.entries + 1 END
+    FROM (SELECT *, CASE WHEN size + 4 * restarts + 8 >= 4096 THEN 1 ELSE 0 END AS cut FROM walk) w JOIN sizes s ON s.run_id = w.run_id AND s.rn = w.rn + 1)"""
+
 ORACLES: dict[str, str] = {
     "current_state": f"{_WITH} SELECT * FROM cur",
     "current_state_window": f"{_WITH} SELECT * FROM cur",
@@ -327,6 +370,9 @@ ORACLES: dict[str, str] = {
     "conversations_ordered": "SELECT lpad(CAST(conv_id AS VARCHAR), 8, '0') || ':' || lpad(CAST(turn AS VARCHAR), 4, '0') AS key, role AS value FROM conversations ORDER BY key",
     "labels_multi_get": "SELECT 'doc:' || lpad(CAST(d.doc_id AS VARCHAR), 10, '0') AS key, CAST(l.quality AS VARCHAR) AS value, CASE WHEN l.doc_id IS NULL THEN 'NotFound' ELSE 'OK' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "bloom_no_false_negatives": f"{_WITH} SELECT run_id, CAST(0 AS BIGINT) AS misses, count(*) AS keys, true AS few_false_hits FROM run GROUP BY run_id",
+    "block_cuts": f"{_CUTS} SELECT run_id, block, min(key) AS first_key, max(key) AS last_key, count(*) AS num_entries, CAST(max(size + 4 * restarts + 8) AS BIGINT) AS size FROM walk GROUP BY run_id, block",
+    "crc32c": f"{_CRC}, masks AS (SELECT key, crc, ({_turn('crc', 17)} + {MASK_DELTA}) & {_LOW} AS masked FROM crcs) SELECT key, CAST(crc AS BIGINT) AS crc, CAST(masked AS BIGINT) AS masked, CAST(crc AS BIGINT) AS unmasked FROM masks",
+    "murmur3": f"{_MURMUR} SELECT key, CAST(xor(h, h >> 16) AS BIGINT) AS hash FROM two",
     "flush_once": f"{_WITH} SELECT * FROM newest",
     "stream_latest_state": f"{_WITH} SELECT * FROM cur",
 }
