@@ -271,7 +271,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_WITH = """
+WITH = """
 WITH log AS (
     SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op,
         'user:' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS key,
@@ -313,13 +313,13 @@ def _scrambled(k: str) -> str:
 
 
 # One byte's remainder by the reflected Castagnoli polynomial, for all 256 bytes.
-_CRC = f"""{_WITH.replace("WITH", "WITH RECURSIVE", 1)}, {_BYTES},
+_CRC = f"""{WITH.replace("WITH", "WITH RECURSIVE", 1)}, {_BYTES},
 bit AS (SELECT CAST(range AS UBIGINT) AS byte, CAST(range AS UBIGINT) AS c, 0 AS n FROM range(256)
     UNION ALL SELECT byte, xor(c >> 1, CASE WHEN c & 1 = 1 THEN CAST({CASTAGNOLI} AS UBIGINT) ELSE CAST(0 AS UBIGINT) END), n + 1 FROM bit WHERE n < 8),
 t AS (SELECT list(c ORDER BY byte) AS t FROM bit WHERE n = 8),
 crcs AS (SELECT key, xor(list_reduce(list_prepend({_LOW}, b), lambda c, x: xor(t[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8)), {_LOW}) AS crc FROM keys, t)"""
 
-_MURMUR = f"""{_WITH}, {_BYTES},
+_MURMUR = f"""{WITH}, {_BYTES},
 words AS (SELECT key, len(b) AS size, list_transform(range(0, len(b) // 4), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) AS k,
     CAST(coalesce(list_sum(list_transform(range(0, len(b) % 4), lambda i: b[len(b) - len(b) % 4 + i + 1] << (8 * i))), 0) AS UBIGINT) AS tail FROM keys),
 whole AS (SELECT key, size, tail, list_reduce(list_prepend(CAST({MURMUR_SEED} AS UBIGINT), list_transform(k, lambda x: {_scrambled("x")})),
@@ -328,7 +328,7 @@ ended AS (SELECT key, xor(xor(h, {_scrambled("tail")}), CAST(size AS UBIGINT)) A
 one AS (SELECT key, {_times("xor(h, h >> 16)", MURMUR_MIX[0])} AS h FROM ended),
 two AS (SELECT key, {_times("xor(h, h >> 13)", MURMUR_MIX[1])} AS h FROM one)"""
 
-_CUTS = f"""{_WITH.replace("WITH", "WITH RECURSIVE", 1)},
+_CUTS = f"""{WITH.replace("WITH", "WITH RECURSIVE", 1)},
 placed AS (SELECT run_id, key, coalesce(octet_length(encode(value)), 0) AS body, row_number() OVER w AS rn, lag(key) OVER w AS prev FROM run WINDOW w AS (PARTITION BY run_id ORDER BY key)),
 entry AS (SELECT run_id, key, body, rn, CASE WHEN prev IS NULL THEN 0 ELSE {_SHARED} END AS common FROM placed),
 sizes AS (SELECT run_id, key, rn, {_varint("common")} + {_varint("(length(key) - common)")} + {_varint("body")} + length(key) - common + body AS shared_size,
@@ -339,40 +339,40 @@ walk AS (SELECT run_id, key, rn, CAST(0 AS BIGINT) AS block, CAST(full_size AS B
     FROM (SELECT *, CASE WHEN size + 4 * restarts + 8 >= 4096 THEN 1 ELSE 0 END AS cut FROM walk) w JOIN sizes s ON s.run_id = w.run_id AND s.rn = w.rn + 1)"""
 
 ORACLES: dict[str, str] = {
-    "current_state": f"{_WITH} SELECT * FROM cur",
-    "current_state_window": f"{_WITH} SELECT * FROM cur",
-    "point_get": f"{_WITH} SELECT * FROM cur WHERE key = (SELECT min(key) FROM cur)",
-    "multi_get": f"{_WITH} SELECT p.key, c.value, CASE WHEN c.key IS NULL THEN 'NotFound' ELSE 'OK' END AS status FROM (SELECT DISTINCT key FROM log) p LEFT JOIN cur c ON p.key = c.key",
-    "range_scan": f"{_WITH} SELECT key, value FROM cur WHERE key >= 'user:00000010' AND key < 'user:00000020' ORDER BY key",
-    "empty_scan": f"{_WITH} SELECT key, value FROM cur WHERE key >= 'user:00000020' AND key < 'user:00000010'",
-    "seek": f"{_WITH} SELECT key, value FROM cur WHERE key >= 'user:00000007x' ORDER BY key LIMIT 1",
-    "tombstones": f"{_WITH} SELECT key, seq FROM newest WHERE op = 'DELETE'",
-    "flush_runs": f"{_WITH} SELECT * FROM run",
-    "minor_compaction": f"{_WITH} SELECT CAST(floor(run_id / 4) AS BIGINT) AS merged_run, key, op, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY floor(run_id / 4), key ORDER BY run_id DESC) AS n FROM run) WHERE n = 1",
-    "major_compaction": f"{_WITH} SELECT * FROM cur",
-    "run_union": f"{_WITH} SELECT * FROM run",
-    "run_stats": f"{_WITH} SELECT * FROM meta",
-    "run_overlap": f"{_WITH} SELECT a.run_id AS left_run, b.run_id AS right_run FROM meta a JOIN meta b ON a.run_id < b.run_id AND a.smallest_key <= b.largest_key AND a.largest_key >= b.smallest_key",
-    "level_stats": f"{_WITH} SELECT * FROM stats",
-    "pick_compaction": f"{_WITH} SELECT level, num_files, bytes, CASE WHEN level = 0 THEN num_files >= 4 ELSE bytes > 16384 END AS due FROM stats",
-    "wal_prefix_replay": f"{_WITH}, good AS (SELECT * FROM log WHERE seq < coalesce((SELECT min(seq) FROM log WHERE metric > 100), 9223372036854775807)) SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM good) WHERE n = 1 AND op = 'PUT'",
-    "multi_seek": f"{_WITH} SELECT p.target, min(c.key) AS key FROM (SELECT DISTINCT key || '!' AS target FROM log) p LEFT JOIN cur c ON c.key >= p.target GROUP BY p.target",
-    "ordered_iteration": f"{_WITH} SELECT key, CAST(row_number() OVER (ORDER BY key) AS BIGINT) AS rn, {_PREVIOUS} AS previous_key FROM cur",
-    "memtable_iteration": f"{_WITH} SELECT key, op, value FROM newest ORDER BY key",
-    "varint_lengths": f"{_WITH}, lengths AS (SELECT octet_length(encode(key)) AS k, coalesce(octet_length(encode(value)), 0) AS v FROM log) SELECT CAST(sum({_varint('k')}) AS BIGINT) AS key_varint_bytes, CAST(sum({_varint('v')}) AS BIGINT) AS value_varint_bytes, CAST(max({_varint('v')}) AS INTEGER) AS longest FROM lengths",
+    "current_state": f"{WITH} SELECT * FROM cur",
+    "current_state_window": f"{WITH} SELECT * FROM cur",
+    "point_get": f"{WITH} SELECT * FROM cur WHERE key = (SELECT min(key) FROM cur)",
+    "multi_get": f"{WITH} SELECT p.key, c.value, CASE WHEN c.key IS NULL THEN 'NotFound' ELSE 'OK' END AS status FROM (SELECT DISTINCT key FROM log) p LEFT JOIN cur c ON p.key = c.key",
+    "range_scan": f"{WITH} SELECT key, value FROM cur WHERE key >= 'user:00000010' AND key < 'user:00000020' ORDER BY key",
+    "empty_scan": f"{WITH} SELECT key, value FROM cur WHERE key >= 'user:00000020' AND key < 'user:00000010'",
+    "seek": f"{WITH} SELECT key, value FROM cur WHERE key >= 'user:00000007x' ORDER BY key LIMIT 1",
+    "tombstones": f"{WITH} SELECT key, seq FROM newest WHERE op = 'DELETE'",
+    "flush_runs": f"{WITH} SELECT * FROM run",
+    "minor_compaction": f"{WITH} SELECT CAST(floor(run_id / 4) AS BIGINT) AS merged_run, key, op, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY floor(run_id / 4), key ORDER BY run_id DESC) AS n FROM run) WHERE n = 1",
+    "major_compaction": f"{WITH} SELECT * FROM cur",
+    "run_union": f"{WITH} SELECT * FROM run",
+    "run_stats": f"{WITH} SELECT * FROM meta",
+    "run_overlap": f"{WITH} SELECT a.run_id AS left_run, b.run_id AS right_run FROM meta a JOIN meta b ON a.run_id < b.run_id AND a.smallest_key <= b.largest_key AND a.largest_key >= b.smallest_key",
+    "level_stats": f"{WITH} SELECT * FROM stats",
+    "pick_compaction": f"{WITH} SELECT level, num_files, bytes, CASE WHEN level = 0 THEN num_files >= 4 ELSE bytes > 16384 END AS due FROM stats",
+    "wal_prefix_replay": f"{WITH}, good AS (SELECT * FROM log WHERE seq < coalesce((SELECT min(seq) FROM log WHERE metric > 100), 9223372036854775807)) SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM good) WHERE n = 1 AND op = 'PUT'",
+    "multi_seek": f"{WITH} SELECT p.target, min(c.key) AS key FROM (SELECT DISTINCT key || '!' AS target FROM log) p LEFT JOIN cur c ON c.key >= p.target GROUP BY p.target",
+    "ordered_iteration": f"{WITH} SELECT key, CAST(row_number() OVER (ORDER BY key) AS BIGINT) AS rn, {_PREVIOUS} AS previous_key FROM cur",
+    "memtable_iteration": f"{WITH} SELECT key, op, value FROM newest ORDER BY key",
+    "varint_lengths": f"{WITH}, lengths AS (SELECT octet_length(encode(key)) AS k, coalesce(octet_length(encode(value)), 0) AS v FROM log) SELECT CAST(sum({_varint('k')}) AS BIGINT) AS key_varint_bytes, CAST(sum({_varint('v')}) AS BIGINT) AS value_varint_bytes, CAST(max({_varint('v')}) AS INTEGER) AS longest FROM lengths",
     "varint_boundaries": f"SELECT o_orderkey, CAST({_varint('o_orderkey')} AS INTEGER) AS one, CAST({_varint('o_orderkey * o_orderkey * 64')} AS INTEGER) AS squared FROM orders",
-    "memtable_rollover": f"{_WITH}, bytes AS (SELECT seq, CAST(octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0) AS BIGINT) AS size FROM log), cum AS (SELECT seq, size, CAST(floor(sum(size) OVER (ORDER BY seq) / 65536.0) AS BIGINT) AS batch FROM bytes) SELECT batch, count(*) AS changes, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(size) AS BIGINT) AS bytes FROM cum GROUP BY batch",
-    "prefix_compression": f"{_WITH}, placed AS (SELECT key, CAST(row_number() OVER (ORDER BY key) AS BIGINT) AS rn, {_PREVIOUS} AS prev FROM cur), found AS (SELECT key, rn, CASE WHEN (rn - 1) % 16 = 0 THEN 0 ELSE {_SHARED} END AS shared FROM placed) SELECT key, rn, CAST(shared AS INTEGER) AS shared, CAST(length(key) - shared AS INTEGER) AS non_shared FROM found",
-    "sparse_index": f"{_WITH}, placed AS (SELECT key, CAST(floor((row_number() OVER (ORDER BY key) - 1) / 16) AS BIGINT) AS block FROM cur) SELECT block, max(key) AS last_key, count(*) AS num_entries FROM placed GROUP BY block",
-    "put_after_delete": f"{_WITH}, seen AS (SELECT key, op, lag(op) OVER (PARTITION BY key ORDER BY seq) AS last FROM log) SELECT key, CAST(sum(CASE WHEN op = 'PUT' AND last = 'DELETE' THEN 1 ELSE 0 END) AS BIGINT) AS revivals FROM seen GROUP BY key",
+    "memtable_rollover": f"{WITH}, bytes AS (SELECT seq, CAST(octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0) AS BIGINT) AS size FROM log), cum AS (SELECT seq, size, CAST(floor(sum(size) OVER (ORDER BY seq) / 65536.0) AS BIGINT) AS batch FROM bytes) SELECT batch, count(*) AS changes, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(size) AS BIGINT) AS bytes FROM cum GROUP BY batch",
+    "prefix_compression": f"{WITH}, placed AS (SELECT key, CAST(row_number() OVER (ORDER BY key) AS BIGINT) AS rn, {_PREVIOUS} AS prev FROM cur), found AS (SELECT key, rn, CASE WHEN (rn - 1) % 16 = 0 THEN 0 ELSE {_SHARED} END AS shared FROM placed) SELECT key, rn, CAST(shared AS INTEGER) AS shared, CAST(length(key) - shared AS INTEGER) AS non_shared FROM found",
+    "sparse_index": f"{WITH}, placed AS (SELECT key, CAST(floor((row_number() OVER (ORDER BY key) - 1) / 16) AS BIGINT) AS block FROM cur) SELECT block, max(key) AS last_key, count(*) AS num_entries FROM placed GROUP BY block",
+    "put_after_delete": f"{WITH}, seen AS (SELECT key, op, lag(op) OVER (PARTITION BY key ORDER BY seq) AS last FROM log) SELECT key, CAST(sum(CASE WHEN op = 'PUT' AND last = 'DELETE' THEN 1 ELSE 0 END) AS BIGINT) AS revivals FROM seen GROUP BY key",
     "kv_orders": "SELECT 'key_' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, o_orderstatus || '|' || o_orderpriority AS value FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200 ORDER BY key",
     "lineitem_versions": "SELECT key, versions, l_extendedprice, l_partkey, l_suppkey FROM (SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || ':' || CAST(l_linenumber AS VARCHAR) AS key, l_extendedprice, l_partkey, l_suppkey, row_number() OVER w AS n, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS versions FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC)) WHERE n = 1",
     "conversations_ordered": "SELECT lpad(CAST(conv_id AS VARCHAR), 8, '0') || ':' || lpad(CAST(turn AS VARCHAR), 4, '0') AS key, role AS value FROM conversations ORDER BY key",
     "labels_multi_get": "SELECT 'doc:' || lpad(CAST(d.doc_id AS VARCHAR), 10, '0') AS key, CAST(l.quality AS VARCHAR) AS value, CASE WHEN l.doc_id IS NULL THEN 'NotFound' ELSE 'OK' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    "bloom_no_false_negatives": f"{_WITH} SELECT run_id, CAST(0 AS BIGINT) AS misses, count(*) AS keys, true AS few_false_hits FROM run GROUP BY run_id",
+    "bloom_no_false_negatives": f"{WITH} SELECT run_id, CAST(0 AS BIGINT) AS misses, count(*) AS keys, true AS few_false_hits FROM run GROUP BY run_id",
     "block_cuts": f"{_CUTS} SELECT run_id, block, min(key) AS first_key, max(key) AS last_key, count(*) AS num_entries, CAST(max(size + 4 * restarts + 8) AS BIGINT) AS size FROM walk GROUP BY run_id, block",
     "crc32c": f"{_CRC}, masks AS (SELECT key, crc, ({_turn('crc', 17)} + {MASK_DELTA}) & {_LOW} AS masked FROM crcs) SELECT key, CAST(crc AS BIGINT) AS crc, CAST(masked AS BIGINT) AS masked, CAST(crc AS BIGINT) AS unmasked FROM masks",
     "murmur3": f"{_MURMUR} SELECT key, CAST(xor(h, h >> 16) AS BIGINT) AS hash FROM two",
-    "flush_once": f"{_WITH} SELECT * FROM newest",
-    "stream_latest_state": f"{_WITH} SELECT * FROM cur",
+    "flush_once": f"{WITH} SELECT * FROM newest",
+    "stream_latest_state": f"{WITH} SELECT * FROM cur",
 }

@@ -218,6 +218,11 @@ class Store:
     def _runs(self, files: list[RunFile]) -> DataFrame:
         return runs.read_runs(self.spark, files, self.files.base, schema.changelog(self.options.binary), self.reading)
 
+    def run(self, file: RunFile) -> DataFrame:
+        """The entries of one run, deletions among them."""
+        self._check()
+        return self._runs([file])
+
     def compact(self) -> int:
         """Compacts until no task is due; returns the number of compactions."""
         done = 0
