@@ -156,17 +156,22 @@ def _reduce(ratio: int, targets: int):
         passed = table.filter(pa.array(kinds == _SPANS)).drop_columns(["kind", "hashes"])
         passed = passed.set_column(0, "target", pc.divide(passed.column("target"), pa.scalar(ratio, pa.int32())))
         if edges:
+            of = lambda name, kind: np.concatenate([T.unpack(get(name, i), kind) for i in edges])
             h = np.concatenate([T.unpack_sorted(get("hashes", i)) for i in edges])
-            doc = np.concatenate([T.unpack(get("docs", i), np.int64) for i in edges])
+            order = np.argsort(h)
+            same = h[order]
+            same = same[1:] == same[:-1]
+            some = order[np.r_[False, same] | np.r_[same, False]]  # an edge with one occurrence here has no other
+            del order, same
+            h, doc = h[some], of("docs", np.int64)[some]
             order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            h, doc, some = h[order], doc[order], some[order]
+            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
             lead = np.repeat(at, np.diff(np.r_[at, len(h)]))
             rep = doc != doc[lead]
-            del h
+            del h, order
             if rep.any():
-                tag = np.concatenate([T.unpack(get("tags", i), np.uint32) for i in edges])[order]
-                pos = np.concatenate([T.unpack(get("starts", i), np.uint32) for i in edges])[order].astype(np.int64)
+                tag, pos = of("tags", np.uint32)[some], of("starts", np.uint32)[some].astype(np.int64)
                 # the source is the first place in the smallest document
                 low = np.minimum.reduceat(np.where(doc == doc[lead], pos, np.iinfo(np.int64).max), at)
                 source = np.repeat(low, np.diff(np.r_[at, len(doc)]))
