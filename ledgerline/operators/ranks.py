@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,32 @@ def ranges(rows: DataFrame) -> int:
     return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Distinct keys that are sampled for each range.
+SAMPLED = 20
+
+
+def bounds(keys: DataFrame, slots: int) -> list:
+    """At most slots - 1 ascending keys that split the one column of keys into ranges of about as many distinct keys each.
+
+    They are values on the driver, of SAMPLED keys a range that their hashes choose. A plan that reads its ranges twice
+    needs them: repartitionByRange samples again each time, and what it calls range 3 need not be the same keys.
+    """
+    key = F.col(keys.columns[0])
+    count = keys.agg(F.approx_count_distinct(key)).first()[0]
+    picked = keys.where(key.isNotNull() & (F.pmod(F.xxhash64(key), F.lit(max(1, count // (SAMPLED * slots)))) == 0))
+    found = picked.agg(F.sort_array(F.collect_set(key))).first()[0]
+    return [found[i] for i in sorted({len(found) * n // slots for n in range(1, slots)})] if found else []
+
+
+def slot_of(key: Column | str, cuts: list) -> Column:
+    """How many of the ascending cuts are at or below key, by binary search; 0 for null."""
+    if not cuts:
+        return F.lit(0)
+    key, table = F.col(key) if isinstance(key, str) else key, F.array(*map(F.lit, cuts))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(table, n + step - 1) <= key, step).otherwise(0))
+
+
 def numbered(rows: DataFrame, *keys: str, out: str = "rn", before: str | None = None, slots: int | None = None) -> DataFrame:
     """rows with their place (from 1) in the order of keys; with before, also the first key of the row before.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PUT
-from .ranks import ranges
+from .ranks import bounds, ranges, slot_of
 from .resolve import current, latest
 
 
@@ -52,21 +52,22 @@ def seek(log: DataFrame, target) -> DataFrame:
 def multi_seek(log: DataFrame, probes: DataFrame, slots: int | None = None) -> DataFrame:
     """(target, key) for every row of probes (target): its first live key at or after, or null.
 
-    A merge by ranges, not a join of all pairs: live keys and targets are split at the same sampled bounds. In a
-    range the next key is a window's minimum over the rows that follow; a target past its range's last key takes the
-    first key of the next range that has one, from a table of `slots` rows.
+    A merge by ranges, not a join of all pairs: live keys and targets are split at the same bounds, which are sampled
+    once. In a range the next key is a window's minimum over the rows from there on; a target past its range's last key
+    takes the first key of the next range that has one, from a table of a row a range. A null target has none.
     """
-    slots = slots or ranges(log)
-    live = current(log)
+    live = current(log).select("key")
     kind = live.schema["key"].dataType
-    rows = live.select("key", F.lit(None).cast(kind).alias("target"), F.col("key").alias("at"))
-    asked = probes.select(F.lit(None).cast(kind).alias("key"), "target", F.col("target").alias("at"))
-    both = rows.unionByName(asked).repartitionByRange(slots, "at").withColumn("slot", F.spark_partition_id())
-    here = Window.partitionBy("slot").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("next", F.min("key").over(here))
+    cuts = bounds(log.select("key").unionByName(probes.select(F.col("target").alias("key"))), slots or ranges(log))
+    rows = live.select("key", F.lit(None).cast(kind).alias("target"), F.lit(False).alias("asked"), F.col("key").alias("at"))
+    asked = probes.select(F.lit(None).cast(kind).alias("key"), "target", F.lit(True).alias("asked"), F.col("target").alias("at"))
+    here = Window.partitionBy("slot").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.unionByName(asked).withColumn("slot", slot_of("at", cuts)).withColumn("next", F.min("key").over(here))
+    firsts = live.groupBy(slot_of("key", cuts).alias("slot")).agg(F.min("key").alias("first"))
     after = Window.orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
-    later = both.groupBy("slot").agg(F.min("key").alias("first")).select("slot", F.min("first").over(after).alias("later"))
-    return found.where("target is not null").join(F.broadcast(later), "slot").select("target", F.coalesce("next", "later").alias("key"))
+    later = log.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("slot")).join(firsts, "slot", "left").select("slot", F.min("first").over(after).alias("later"))
+    key = F.when(F.col("target").isNotNull(), F.coalesce("next", "later"))
+    return found.where("asked").join(F.broadcast(later), "slot").select("target", key.alias("key"))
 
 
 def ordered(log: DataFrame, with_tombstones: bool = False) -> DataFrame:

@@ -1,3 +1,6 @@
+import bisect
+from collections import Counter
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +52,39 @@ def test_reads(spark, log):
     assert [r.op for r in reads.ordered(log, with_tombstones=True).collect()] == ["DELETE", "PUT", "PUT", "PUT", "DELETE"]
 
 
+@pytest.mark.parametrize("slots", [1, 7, 64])
+def test_multi_seek_of_more_rows_than_are_sampled(spark, slots):
+    n = 40_000
+    log = spark.range(n).select(F.col("id").alias("seq"), F.when(F.col("id") % 5 == 0, "DELETE").otherwise("PUT").alias("op"), F.format_string("k%06d", (F.col("id") * 37) % n).alias("key"), F.lit("v").alias("value")).repartition(8)
+    targets = [f"k{i:06d}!" for i in range(0, n + 100, 3)] + ["k000009"] * 50 + ["", "k~"]
+    live = sorted(f"k{i * 37 % n:06d}" for i in range(n) if i % 5)
+    want = [(t, None if t > live[-1] else live[bisect.bisect_left(live, t)]) for t in targets]
+    probes = spark.createDataFrame(pd.DataFrame({"target": targets}), "target string")
+    got = [tuple(r) for r in reads.multi_seek(log, probes, slots).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_multi_seek_of_nothing_and_of_bytes(spark, log):
+    probes = spark.createDataFrame([("b",), (None,)], "target string")
+    for few in (log.limit(0), log.where("op = 'DELETE'")):
+        assert sorted((r.target or "", r.key) for r in reads.multi_seek(few, probes).collect()) == [("", None), ("b", None)]
+    assert reads.multi_seek(log, probes.limit(0)).isEmpty()
+    raw = log.withColumn("key", F.concat(F.lit(b"\xff"), F.col("key").cast("binary")))
+    asked = spark.createDataFrame([(b"\x7f",), (b"\xffbb",), (b"\xffe",)], "target binary")
+    got = {bytes(r.target): r.key and bytes(r.key) for r in reads.multi_seek(raw, asked, 3).collect()}
+    assert got == {b"\x7f": b"\xffb", b"\xffbb": b"\xffc", b"\xffe": None}
+
+
+def test_slots_split_at_the_cuts(spark):
+    keys = spark.range(5000).select(F.format_string("k%05d", "id").alias("key")).union(spark.createDataFrame([(None,)], "key string"))
+    cuts = ranks.bounds(keys, 16)
+    assert cuts == sorted(set(cuts)) and len(cuts) == 15
+    got = keys.withColumn("slot", ranks.slot_of("key", cuts)).collect()
+    assert all(r.slot == (bisect.bisect_right(cuts, r.key) if r.key else 0) for r in got)
+    sizes = Counter(r.slot for r in got)
+    assert len(sizes) == 16 and max(sizes.values()) < 3 * 5000 / 16
+
+
 def test_numbered(spark):
     rows = spark.range(1000).select(F.format_string("k%05d", (F.col("id") * 37) % 1000).alias("key"))
     got = ranks.numbered(rows, "key", before="last", slots=7).orderBy("key").collect()
